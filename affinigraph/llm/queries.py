@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ._common import table
 
 
+#: A line on so many distinct sites is boilerplate.
+MIN_SITES = 10
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -22,6 +26,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._common import materialize, new_path
+    from .warc import assemble, read_records, write_archives
+
+    path = new_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    heads = assemble(read_records(spark, path)).select(
+        F.expr("try_cast(metadata.page_id AS BIGINT)").alias("page_id"), "capture_id", F.octet_length("response.payload").cast("long").alias("n"),
+        F.col("response.digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("of_"),
+    )
+    heads = materialize(heads, "captures")
+    own = heads.where(F.col("record_type") == "response").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    first = heads.where(F.col("record_type") == "response").select(F.col("capture_id").alias("of_"), F.col("page_id").alias("refers_to"), F.col("n").alias("payload_bytes"))
+    again = heads.where(F.col("record_type") == "revisit").drop("n").join(first, "of_", "left").select(*own.columns)
+    return own.unionByName(again)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import remove_boilerplate
+
+    cleaned = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=MIN_SITES)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,9 +58,48 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    return identify(named, train(docs), keep=("doc_id", "held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": WARC_SQL, "op4_line_dedup": LINES_SQL}
+
+
+# SHA-1 in base32: as in the operator, 20 bits give 4 letters
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS x FROM p),
+b AS (SELECT page_id, n, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, 1 + 5 * i, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS INTEGER) + 1, 1), '' ORDER BY i, j)
+      FROM range(8) a(i), range(4) c(j)) AS digest FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY digest)
+"""
+
+LINES_SQL = f"""
+WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
+bad AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}),
+r AS (SELECT k.doc_id, count(*) AS n, count(bad.key) FILTER (k.doc_id <> first_doc) AS gone,
+      string_agg(line, chr(10) ORDER BY pos) FILTER (bad.key IS NULL OR k.doc_id = first_doc) AS kept
+      FROM k LEFT JOIN bad ON k.key = bad.key GROUP BY k.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN r USING (doc_id)
+"""
