@@ -58,6 +58,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .privacy import KINDS, joined, sanitise
+
+    out = sanitise(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    return out.select("doc_id", *(F.size(F.array_compact(F.transform(kinds, lambda x: F.when(x == F.lit(k), x)))).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
