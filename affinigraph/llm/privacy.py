@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
+#: Tables of at most so many bytes, measured, are sent to every task; larger ones are joined by a shuffle.
+SENT_BYTES = 8 << 20
+
 #: Kinds in reporting order. Each pattern finds the same leftmost matches as its plain form, but a run is tried once, from
 #: its start or from the end of the last match, and loops are possessive: no text makes them slow.
 PATTERNS = {
@@ -83,6 +86,12 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most SENT_BYTES."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= SENT_BYTES else df
+
+
 def entity(value: Column) -> Column:
     """The form under which mentions of one entity agree: digits alone of a number, lower case of the rest."""
     lower = F.lower(value)
@@ -104,7 +113,7 @@ def disclosing_terms(docs: DataFrame, disclosure: float, support: int, text: str
     pairs = named.join(known, "entity").join(lines.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))).alias("term")), "h")
     pairs = pairs.where(~F.col("entity").contains(F.col("term")) & F.col("term").rlike(r"\p{L}")).groupBy("entity", "term", "n_entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     pairs = materialize(pairs, "pairs")
-    terms = pairs.select("term").distinct()
+    terms = sent_if_small(materialize(pairs.select("term").distinct(), "terms"))
     everywhere = docs.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
     words = everywhere.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))).alias("term"))
     seen = words.join(terms, "term", "left_semi").groupBy("term", "h").agg(F.count("*").alias("copies")).groupBy("term").agg(F.count("*").alias("n_term"))
@@ -124,11 +133,12 @@ def sanitise(docs: DataFrame, disclosure: float = 0.8, support: int = 3, action:
     if action not in ("generalise", "remove"):
         raise ValueError("action must be generalise or remove")
     found = with_base(docs, text).withColumns({"key_": F.xxhash64(key, text), "of_": F.col(key)})
-    told = materialize(disclosing_terms(found, disclosure, support, text), "disclosing")
+    told = sent_if_small(materialize(disclosing_terms(found, disclosure, support, text), "disclosing"))
     telling = (
         found.where(F.size("base_") > 0).select("of_", "key_", F.explode(F.array_distinct(F.transform("base_", lambda s: entity(s["value"])))).alias("entity"))
         .join(told, "entity").groupBy(F.col("of_").alias("of2_"), F.col("key_").alias("key2_")).agg(F.collect_set("term").alias("terms_"))
     )
+    telling = sent_if_small(materialize(telling, "telling"))
     with_terms = found.join(telling, F.col("of_").eqNullSafe(F.col("of2_")) & (F.col("key_") == F.col("key2_")), "left")
     words = _located(F.split(text, _WORD), F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)), "term")
     outside = lambda w: ~F.exists("base_", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
