@@ -1,0 +1 @@
+"""Clustering of numeric vectors through similarity graphs, on Spark DataFrames."""

@@ -1,11 +1,474 @@
-"""Named queries of the library."""
+"""Named queries of the library over the test tables, and the same results in SQL.
+
+Outputs are scalars rounded to six decimals, so that engines which add in another order agree.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import vectors as fv
+from ..operators import buckets, clustering, eigen, graph, landmarks, metrics, neighbours
+from ..sources import datagen, points
+
+WIDTH = 64
+T = 10
+#: Affinities of the hash and landmark queries have this width; distances in the table are near 120.
+SIGMA = 120.0
+EMBED_K = 4
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return points.points_of(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+def orders4(spark: SparkSession, d: str) -> DataFrame:
+    """Four numbers of each line item as a point; the return flag stands for a cluster."""
+    t = table(spark, d, "lineitem")
+    return t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))).alias("v"), F.col("l_returnflag").alias("cluster"))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "embeddings")
+    return t.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("cluster"))
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(embeddings(spark, d), T)
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: r6(F.col(c)) for c in cols})
+
+
+P = "WITH RECURSIVE p AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+DIST = "pow(list_distance(a.v, b.v), 2)"
+KNN = f"""{P}, k AS (SELECT i, j, d, rank FROM (SELECT a.id AS i, b.id AS j, {DIST} AS d, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS INTEGER) AS rank FROM p a, p b) WHERE rank <= {T})"""
+EDGES = f"""{KNN}, u AS (SELECT i, j, d FROM k UNION ALL SELECT j, i, d FROM k), e AS (SELECT i, j, min(d) AS d FROM u GROUP BY i, j), m AS (SELECT i, avg(d) AS mean FROM u GROUP BY i)"""
+AFFINITY = f"""{EDGES}, s AS (SELECT e.i, e.j, CASE WHEN a.mean * b.mean = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-d * d / (a.mean * b.mean)) END AS s FROM e JOIN m a ON a.i = e.i JOIN m b ON b.i = e.j)"""
+DEGREE = f"""{AFFINITY}, g AS (SELECT i, sqrt(sum(s)) AS root FROM s GROUP BY i)"""
+
+# Sources and projections
+
+
+@query(f"{P} SELECT id, round(v[1], 6) AS first_value, round(v[{WIDTH}], 6) AS last_value, CAST(len(v) AS INTEGER) AS width FROM p")
+def vec_scan(spark, d):
+    return embeddings(spark, d).select("id", r6(F.col("v")[0]).alias("first_value"), r6(F.col("v")[WIDTH - 1]).alias("last_value"), F.size("v").alias("width"))
+
+
+@query(f"{P} SELECT id, round(list_sum(v), 6) AS total, CAST(len(v) AS INTEGER) AS width FROM p")
+def csv_roundtrip(spark, d):
+    lines = embeddings(spark, d).select("id", points.csv_line())
+    return lines.select("id", fv.parse_line(F.col("value")).alias("v")).select("id", r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size("v").alias("width"))
+
+
+@query(f"{P} SELECT min(id) AS id, round(v[1], 6) AS first_value FROM p GROUP BY v")
+def distinct_vectors(spark, d):
+    return points.distinct_vectors(embeddings(spark, d)).select("id", r6(F.col("v")[0]).alias("first_value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS idx FROM lineitem")
+def dense_index(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    return points.dense_index(t).select("l_orderkey", "l_linenumber", "idx")
+
+
+@query(f"{P} SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM p")
+def vec_norm(spark, d):
+    return embeddings(spark, d).select("id", r6(fv.norm("v")).alias("norm"))
+
+
+@query(f"{P} SELECT id, round(list_sum(list_transform(v, lambda x: least(1.0, greatest(0.0, x)))), 6) AS total FROM p")
+def clamp_unit(spark, d):
+    return embeddings(spark, d).select("id", r6(F.aggregate(F.transform("v", fv.clamp_unit), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query(f"{P}, h(pos, nth) AS (VALUES (3, 0), (0, 1), (3, 2)) SELECT id, nth, round(v[pos + 1], 6) AS x FROM p, h")
+def column_view(spark, d):
+    view = F.transform(F.array(*(F.lit(x) for x in (3, 0, 3))), lambda k: F.element_at("v", k + 1))
+    return embeddings(spark, d).select("id", F.posexplode(view).alias("nth", "x")).select("id", "nth", r6(F.col("x")).alias("x"))
+
+
+@query(f"{P}, x AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM p) SELECT CAST(pos - 1 AS INTEGER) AS pos, round(min(x), 6) AS low, round(max(x), 6) AS high FROM x GROUP BY pos")
+def col_stats(spark, d):
+    return rounded(buckets.column_stats(embeddings(spark, d), WIDTH), "low", "high")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT label) AS clusters FROM embeddings")
+def row_counts(spark, d):
+    return labelled(spark, d).agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
+
+
+# Pairs, neighbours, graph
+
+
+@query(f"{P} SELECT a.id AS i, b.id AS j, round({DIST}, 6) AS d FROM p a, p b WHERE a.id < 20")
+def pair_sqdist(spark, d):
+    p = embeddings(spark, d)
+    return rounded(neighbours.pair_distances(p, p.where("id < 20"), WIDTH).select(F.col("j").alias("i"), F.col("i").alias("j"), "d"), "d")
+
+
+@query(f"{KNN} SELECT i, j, rank, round(d, 6) AS d FROM k")
+def knn_t(spark, d):
+    return rounded(near(spark, d), "d")
+
+
+@query(f"{KNN} SELECT i, j, rank, round(d, 6) AS d FROM k")
+def knn_t_blocks(spark, d):
+    """The form for point sets too large to send whole."""
+    return rounded(neighbours.neighbours(embeddings(spark, d), T, sent_bytes=0, block=1024), "d")
+
+
+@query(f"{EDGES} SELECT i, j, round(d, 6) AS d FROM e")
+def sym_edges(spark, d):
+    return rounded(graph.symmetric_edges(near(spark, d)), "d")
+
+
+@query(f"{EDGES} SELECT i, round(mean, 6) AS mean FROM m")
+def row_avg_dist(spark, d):
+    return rounded(graph.mean_distances(near(spark, d)), "mean")
+
+
+@query(f"{AFFINITY} SELECT i, j, round(s, 6) AS s FROM s")
+def affinity_selftuned(spark, d):
+    return rounded(graph.self_tuned_affinity(near(spark, d)), "s")
+
+
+@query(f"{DEGREE} SELECT i, round(root, 6) AS root FROM g")
+def degree(spark, d):
+    return rounded(graph.degrees(graph.self_tuned_affinity(near(spark, d))), "root")
+
+
+@query(f"{DEGREE} SELECT s.i, s.j, round(a.root * s * b.root, 6) AS w FROM s JOIN g a ON a.i = s.i JOIN g b ON b.i = s.j")
+def graph_matrix(spark, d):
+    return rounded(graph.graph_matrix(graph.self_tuned_affinity(near(spark, d))), "w").orderBy("i", "j")
+
+
+@query(f"""{P}, z AS (SELECT id, CASE WHEN id % 7 = 0 THEN list_transform(v, lambda x: 0.0) ELSE v END AS v FROM p), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM z)
+SELECT id, round(CASE WHEN n = 0 THEN 1.0 ELSE v[1] / n END, 6) AS first_value, round(CASE WHEN n = 0 THEN 1.0 ELSE v[{WIDTH}] / n END, 6) AS last_value FROM n""")
+def row_normalize(spark, d):
+    z = embeddings(spark, d).withColumn("v", F.when(F.col("id") % 7 == 0, F.array_repeat(F.lit(0.0), WIDTH)).otherwise(F.col("v")))
+    e = z.select("id", fv.unit_row(F.col("v"), WIDTH).alias("e"))
+    return e.select("id", r6(F.col("e")[0]).alias("first_value"), r6(F.col("e")[WIDTH - 1]).alias("last_value"))
+
+
+# Centres and quality
+
+CENTRES = f"{P}, x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM p), q AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY label, pos), c AS (SELECT label AS cluster, list(m ORDER BY pos) AS c FROM q GROUP BY label)"
+SPREAD = f"{CENTRES}, t AS (SELECT label AS cluster, count(*) AS n, sum(pow(list_distance(v, c), 2)) AS total, avg(pow(list_distance(v, c), 2)) AS mean FROM p JOIN c ON cluster = label GROUP BY label)"
+
+
+@query(f"{CENTRES} SELECT id, min_by(cluster, pow(list_distance(v, c), 2)) AS cluster, round(min(pow(list_distance(v, c), 2)), 6) AS d FROM p, c GROUP BY id")
+def nearest_center(spark, d):
+    rows = labelled(spark, d)
+    near = metrics.nearest_centre(rows.select("id", "v"), metrics.centroids(rows, WIDTH), WIDTH)
+    return rounded(near.select("id", "cluster", "d"), "d")
+
+
+@query("SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label")
+def cluster_sizes(spark, d):
+    return metrics.cluster_sizes(labelled(spark, d))
+
+
+@query(f"{CENTRES} SELECT label AS cluster, CAST(pos - 1 AS INTEGER) AS pos, round(m, 6) AS m FROM q")
+def centroids(spark, d):
+    return rounded(metrics.centroids(labelled(spark, d), WIDTH).select("cluster", F.posexplode("c").alias("pos", "m")), "m")
+
+
+@query(f"{SPREAD} SELECT cluster, n, round(total, 6) AS total, round(mean, 6) AS mean FROM t")
+def dispersion(spark, d):
+    return rounded(metrics.dispersion(labelled(spark, d), WIDTH), "total", "mean")
+
+
+@query(f"{SPREAD} SELECT round(sum(total), 6) AS wssse FROM t")
+def wssse(spark, d):
+    return rounded(metrics.wssse(labelled(spark, d), WIDTH), "wssse")
+
+
+@query(f"{SPREAD} SELECT round(sum(total * total) / sum(n), 4) AS ase FROM t")
+def ase(spark, d):
+    return metrics.ase(labelled(spark, d), WIDTH).select(F.round("ase", 4).alias("ase"))
+
+
+@query(f"{SPREAD}, b AS (SELECT i.cluster, max((i.mean + j.mean) / pow(list_distance(ci.c, cj.c), 2)) AS r FROM t i JOIN t j ON i.cluster <> j.cluster JOIN c ci ON ci.cluster = i.cluster JOIN c cj ON cj.cluster = j.cluster GROUP BY i.cluster) SELECT round(avg(r), 6) AS dbi FROM b")
+def dbi(spark, d):
+    return rounded(metrics.dbi(labelled(spark, d), WIDTH), "dbi")
+
+
+LINES = "WITH l AS (SELECT l_returnflag AS cluster, l_quantity AS a, l_extendedprice AS b, l_discount AS c, l_tax AS d FROM lineitem), m AS (SELECT cluster, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(d) AS md FROM l GROUP BY cluster)"
+
+
+@query(f"{LINES} SELECT cluster, count(*) AS n, round(avg(pow(a - ma, 2) + pow(b - mb, 2) + pow(c - mc, 2) + pow(d - md, 2)), 2) AS mean FROM l JOIN m USING (cluster) GROUP BY cluster")
+def dispersion_lineitem(spark, d):
+    return metrics.dispersion(orders4(spark, d), 4).select("cluster", "n", F.round("mean", 2).alias("mean"))
+
+
+# Hash buckets
+
+STATS = f"{P}, x AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM p), a AS (SELECT pos, min(x) AS low, max(x) AS high FROM x GROUP BY pos), c AS (SELECT pos, low, (high - low) / 20 AS step, (high - low) / sum(high - low) OVER () AS share, sum(high - low) OVER (ORDER BY pos) / sum(high - low) OVER () AS cumulative FROM a)"
+DRAWS = ", ".join(f"({b}, {u!r}::DOUBLE)" for b, u in enumerate(fv.java_doubles(3, 31)))
+BITS = "(SELECT greatest(CAST(ceil(log2(count(*))) AS INTEGER), 20) FROM embeddings)"
+HYPER = f"""{STATS}, u(bit, u) AS (SELECT * FROM (VALUES {DRAWS}) z(bit, u) WHERE bit < {BITS}), r AS (SELECT pos, cumulative AS high, lag(cumulative) OVER (ORDER BY pos) AS low FROM c),
+f AS (SELECT bit, CAST(coalesce(min(pos), 0) AS INTEGER) AS pos FROM u LEFT JOIN r ON (pos = 0 AND u < high) OR (pos > 0 AND u >= low AND u <= high) GROUP BY bit)"""
+HIST = f"""{HYPER}, bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(20)),
+vb AS (SELECT f.bit, p.id, coalesce((SELECT min(bin) FROM bins WHERE v[f.pos + 1] >= low + step * bin AND v[f.pos + 1] <= low + step * bin + step + CASE WHEN bin = 19 THEN 0.1 ELSE 0 END), 0) AS bin FROM p, f JOIN c ON c.pos = f.pos),
+hist AS (SELECT f.bit, bins.bin, count(vb.id) AS n FROM f CROSS JOIN bins LEFT JOIN vb ON vb.bit = f.bit AND vb.bin = bins.bin GROUP BY f.bit, bins.bin)"""
+LEVELS = f"""{HIST}, least AS (SELECT bit, bin, row_number() OVER (PARTITION BY bit ORDER BY bin) - 1 AS nth, count(*) OVER (PARTITION BY bit) AS ties FROM (SELECT *, min(n) OVER (PARTITION BY bit) AS m FROM hist) WHERE n = m),
+th AS (SELECT f.bit, f.pos, low + bin * step AS threshold FROM least JOIN f USING (bit) JOIN c ON c.pos = f.pos WHERE nth = ties // 2)"""
+SIGS = f"""{LEVELS}, sg AS (SELECT id, CAST(sum(CASE WHEN v[pos + 1] >= threshold THEN 1 << bit ELSE 0 END) AS BIGINT) AS sig FROM p, th GROUP BY id), ds AS (SELECT sig, min(id) AS first_id, count(*) AS n FROM sg GROUP BY sig)"""
+# One distinct signature a step, in order of first ids; reps lists the leaders so far
+LEAD = f"""{SIGS}, o AS (SELECT sig, row_number() OVER (ORDER BY first_id) AS nth FROM ds),
+w AS (SELECT 0::BIGINT AS nth, CAST([] AS BIGINT[]) AS reps, NULL::BIGINT AS sig, NULL::INTEGER AS bucket
+UNION ALL SELECT o.nth, CASE WHEN len(list_filter(w.reps, lambda x: bit_count(xor(x, o.sig)) <= 1)) = 0 THEN list_append(w.reps, o.sig) ELSE w.reps END, o.sig,
+CASE WHEN len(list_filter(w.reps, lambda x: bit_count(xor(x, o.sig)) <= 1)) = 0 THEN CAST(len(w.reps) AS INTEGER) ELSE CAST(list_position(w.reps, list_filter(w.reps, lambda x: bit_count(xor(x, o.sig)) <= 1)[1]) - 1 AS INTEGER) END
+FROM w JOIN o ON o.nth = w.nth + 1), bk AS (SELECT sg.id, sg.sig, w.bucket FROM sg JOIN w ON w.sig = sg.sig)"""
+LSH_T = 10
+LSH_KNN = f"""{SIGS}, ps AS (SELECT p.id, p.v, sg.sig FROM p JOIN sg ON sg.id = p.id),
+k AS (SELECT i, j, d, rank FROM (SELECT a.id AS i, b.id AS j, {DIST} AS d, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS INTEGER) AS rank FROM ps a JOIN ps b ON a.sig = b.sig) WHERE rank <= {LSH_T}),
+e AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM k UNION ALL SELECT j, i, d FROM k) GROUP BY i, j), s AS (SELECT i, j, exp(-d * d / ({SIGMA} * {SIGMA})) AS s FROM e), g AS (SELECT i, sqrt(sum(s)) AS root FROM s GROUP BY i)"""
+
+
+def spans(spark, d):
+    return buckets.span_shares(buckets.column_stats(embeddings(spark, d), WIDTH))
+
+
+def drawn(spark, d, s):
+    return buckets.draw_features(s, buckets.bit_count(embeddings(spark, d).count()))
+
+
+def signed(spark, d):
+    p = embeddings(spark, d)
+    return buckets.signatures(p, buckets.fit_hash(p))
+
+
+@query(f"{STATS} SELECT CAST(pos AS INTEGER) AS pos, round(step, 6) AS step, round(share, 6) AS share, round(cumulative, 6) AS cumulative FROM c")
+def lsh_col_cdf(spark, d):
+    return rounded(spans(spark, d).drop("low"), "step", "share", "cumulative")
+
+
+@query(f"{HYPER} SELECT bit, pos FROM f")
+def lsh_hyperplanes(spark, d):
+    return drawn(spark, d, spans(spark, d))
+
+
+@query(f"{HIST} SELECT bit, bin, n FROM hist")
+def lsh_histogram(spark, d):
+    s = spans(spark, d)
+    return buckets.histogram(embeddings(spark, d), drawn(spark, d, s), s)
+
+
+@query(f"{LEVELS} SELECT bit, pos, round(threshold, 6) AS threshold FROM th")
+def lsh_thresholds(spark, d):
+    return rounded(buckets.fit_hash(embeddings(spark, d)), "threshold")
+
+
+@query(f"{SIGS} SELECT id, sig FROM sg")
+def lsh_signatures(spark, d):
+    return signed(spark, d).select("id", "sig")
+
+
+@query(f"{SIGS} SELECT sig, first_id, n FROM ds")
+def lsh_distinct_sigs(spark, d):
+    return buckets.distinct_signatures(signed(spark, d))
+
+
+@query(f"{SIGS} SELECT a.sig AS s1, b.sig AS s2 FROM ds a JOIN ds b ON a.sig < b.sig AND bit_count(xor(a.sig, b.sig)) = 1")
+def lsh_hamming_pairs(spark, d):
+    return buckets.hamming_pairs(signed(spark, d))
+
+
+@query(f"{LEAD} SELECT id, sig, bucket FROM bk")
+def lsh_buckets(spark, d):
+    return buckets.buckets(signed(spark, d)).select("id", "sig", "bucket")
+
+
+@query(f"{LEAD} SELECT bucket, count(*) AS n FROM bk GROUP BY bucket")
+def lsh_bucket_sizes(spark, d):
+    return buckets.buckets(signed(spark, d)).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def lsh_near(spark, d):
+    return neighbours.bucket_neighbours(signed(spark, d).select("id", "v", F.col("sig").alias("bucket")), LSH_T)
+
+
+@query(f"{LSH_KNN} SELECT i, j, rank, round(d, 6) AS d FROM k")
+def lsh_knn(spark, d):
+    return rounded(lsh_near(spark, d), "d")
+
+
+@query(f"{LSH_KNN} SELECT i, j, round(s, 6) AS s FROM s")
+def lsh_affinity(spark, d):
+    return rounded(graph.width_affinity(lsh_near(spark, d), SIGMA), "s")
+
+
+@query(f"{LSH_KNN} SELECT s.i, s.j, round(a.root * s * b.root, 6) AS w FROM s JOIN g a ON a.i = s.i JOIN g b ON b.i = s.j")
+def lsh_matrix(spark, d):
+    return rounded(graph.graph_matrix(graph.width_affinity(lsh_near(spark, d), SIGMA)), "w")
+
+
+# Landmarks: for checking, every 50th point; the strategy itself draws them
+
+LM_SIGMA = 8.0
+LANDMARK = f"{P}, l AS (SELECT * FROM p WHERE id % 50 = 0), o AS (SELECT * FROM p WHERE id % 50 <> 0)"
+LM_A = f"SELECT a.id AS i, b.id AS j, exp(-{DIST} / (2 * {LM_SIGMA} * {LM_SIGMA})) AS s FROM l a, l b"
+LM_B = f"SELECT a.id AS i, b.id AS j, exp(-{DIST} / (2 * {LM_SIGMA} * {LM_SIGMA})) AS s FROM o a, l b"
+
+
+def landmark_parts(spark, d):
+    p = embeddings(spark, d)
+    return p.where("id % 50 = 0"), p.where("id % 50 <> 0")
+
+
+@query(f"{P} SELECT id, id % 5 = 0 AS landmark FROM p")
+def landmark_split(spark, d):
+    p = embeddings(spark, d)
+    a, b = p.where("id % 5 = 0"), p.where("id % 5 <> 0")
+    return a.select("id", F.lit(True).alias("landmark")).unionByName(b.select("id", F.lit(False).alias("landmark")))
+
+
+@query(f"{LANDMARK} SELECT i, j, round(s, 6) AS s FROM ({LM_A})")
+def landmark_a(spark, d):
+    marks, _ = landmark_parts(spark, d)
+    return rounded(landmarks.affinity_to_landmarks(marks, marks, LM_SIGMA), "s")
+
+
+@query(f"{LANDMARK} SELECT i, j, round(s, 6) AS s FROM ({LM_B})")
+def landmark_b(spark, d):
+    marks, rest = landmark_parts(spark, d)
+    return rounded(landmarks.affinity_to_landmarks(rest, marks, LM_SIGMA), "s")
+
+
+@query(f"""{LANDMARK}, a AS ({LM_A}), b AS ({LM_B}) SELECT 'a' AS kind, i AS id, round(sum(s), 6) AS total FROM a GROUP BY i
+UNION ALL SELECT 'b1', j, round(sum(s), 6) FROM b GROUP BY j UNION ALL SELECT 'b2', i, round(sum(s), 6) FROM b GROUP BY i""")
+def landmark_sums(spark, d):
+    marks, rest = landmark_parts(spark, d)
+    a, b = (landmarks.affinity_to_landmarks(x, marks, LM_SIGMA) for x in (marks, rest))
+    parts = (("a", "i", landmarks.row_sums(a)), ("b1", "j", landmarks.column_sums(b)), ("b2", "i", landmarks.row_sums(b)))
+    out = [df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), r6(F.col("total")).alias("total")) for kind, c, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"{LANDMARK}, b AS ({LM_B}) SELECT x.j AS m, y.j AS n, round(sum(x.s * y.s), 6) AS p FROM b x JOIN b y ON x.i = y.i GROUP BY x.j, y.j")
+def landmark_outer(spark, d):
+    marks, rest = landmark_parts(spark, d)
+    return rounded(landmarks.outer_products(landmarks.affinity_to_landmarks(rest, marks, LM_SIGMA)), "p")
+
+
+# Embeddings, models
+
+
+@query()
+def landmark_embed(spark, d):
+    return landmarks.landmark_embedding(embeddings(spark, d), EMBED_K, F.col("id") % 50 == 0, LM_SIGMA)
+
+
+@query()
+def knn_embed(spark, d):
+    return clustering.KnnGraphClustering(k=EMBED_K, sparsity=0.02).embed(embeddings(spark, d)).select("id", "e")
+
+
+@query()
+def lsh_embed(spark, d):
+    return clustering.LshGraphClustering(k=EMBED_K, sigma=SIGMA, share=0.02).embed(embeddings(spark, d)).select("id", "e")
+
+
+@query()
+def knn_cluster(spark, d):
+    return clustering.KnnGraphClustering(k=EMBED_K, sparsity=0.02).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
+
+
+@query()
+def knn_cluster_sizes(spark, d):
+    """Flagship: distinct points to cluster sizes, through the nearest-neighbour graph."""
+    p = points.distinct_vectors(embeddings(spark, d))
+    return metrics.cluster_sizes(clustering.KnnGraphClustering(k=EMBED_K, sparsity=0.02).fit(p).predict_all())
+
+
+@query()
+def lsh_cluster(spark, d):
+    return clustering.LshGraphClustering(k=EMBED_K, sigma=SIGMA, share=0.02).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
+
+
+@query()
+def landmark_cluster(spark, d):
+    return clustering.LandmarkGraphClustering(k=EMBED_K, share=0.2, sigma=LM_SIGMA).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
+
+
+@query()
+def kmeans_cluster(spark, d):
+    return clustering.PlainKMeans(k=10).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
+
+
+@query(f"{P} SELECT id, label AS cluster FROM p WHERE id IN (3, 44, 101)")
+def predict_lookup(spark, d):
+    """Assignments looked up by the vectors themselves."""
+    rows = labelled(spark, d)
+    model = clustering.ClusterModel([], rows, rows)
+    asked = rows.where(F.col("id").isin(3, 44, 101)).select("id", "v")
+    return asked.join(model.predict(asked), "v").select("id", "cluster")
+
+
+# Generator
+
+
+@query("SELECT i AS part, CASE WHEN i < 1003 % 8 THEN i * (1003 // 8 + 1) ELSE i * (1003 // 8) + 1003 % 8 END AS start, CASE WHEN i < 1003 % 8 THEN (i + 1) * (1003 // 8 + 1) ELSE (i + 1) * (1003 // 8) + 1003 % 8 END AS \"end\" FROM range(8) t(i)")
+def gen_ranges(spark, d):
+    return datagen.slices(spark, 1003, 8)
+
+
+@query()
+def gen_points(spark, d):
+    g = datagen.clustered_points(spark, 2000, 8, 5, 0.02)
+    return g.select("id", "cluster", F.posexplode("v").alias("pos", "x"))
+
+
+@query(f"{EDGES} SELECT e.i, e.j, CAST(row_number() OVER (PARTITION BY e.i ORDER BY e.j) AS INTEGER) AS nth FROM e")
+def sorted_rows(spark, d):
+    """Entries of each sparse row numbered by column."""
+    e = graph.symmetric_edges(near(spark, d))
+    return e.select("i", "j", F.row_number().over(Window.partitionBy("i").orderBy("j")).alias("nth"))
+
+
+@query(f"{SPREAD} SELECT id, label AS cluster, round(pow(list_distance(v, c), 2), 6) AS d FROM p JOIN c ON cluster = label")
+def centroid_distance(spark, d):
+    rows = labelled(spark, d)
+    return rounded(rows.join(metrics.centroids(rows, WIDTH), "cluster").select("id", "cluster", fv.squared_distance("v", "c", WIDTH).alias("d")), "d")
+
+
+def spectral_gram(spark, d) -> DataFrame:
+    """Products of embedding rows, free of sign and rotation; for tests."""
+    e = eigen.spectral_rows(graph.graph_matrix(graph.self_tuned_affinity(near(spark, d))), EMBED_K)
+    a, b = e.select(F.col("id").alias("i"), F.col("e").alias("x")), e.select(F.col("id").alias("j"), F.col("e").alias("y"))
+    return a.crossJoin(b).select("i", "j", F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p).alias("g"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)

@@ -1,0 +1 @@
+"""Empty on purpose: no operator of this library works on streams."""
