@@ -132,13 +132,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return ByteConvNet(labels, window=window).fit(x, np.array([labels.index(r.y) for r in rows]), epochs=max(12, min(60, 40_000 // len(rows))))
 
 
-def identify(docs: DataFrame, model: ByteConvNet | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: ByteConvNet | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """Predicted language and its probability for every row. A null text or one without a letter is ``und`` with score 0,
-    as is every text if there is no model. Only the text is looked at. ``keep``: columns to carry along."""
+    as is every text if there is no model. Only the text is looked at. ``keep``: columns to carry along, besides the text with ``keep_text``."""
     ship(docs.sparkSession)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     source = docs.select(F.col(text).alias("text_"), letters.alias("letters_"), *keep)
     schema = source.drop("text_", "letters_").schema
+    if keep_text:
+        schema = schema.add(text, "string")
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +154,6 @@ def identify(docs: DataFrame, model: ByteConvNet | None, key: str = "doc_id", te
                     best = p.argmax(axis=1)
                     pred = [model.labels[k] if ok else UNDETERMINED for k, ok in zip(best, has, strict=True)]
                     score = np.where(has, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], *batch.columns[:keep_text], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
