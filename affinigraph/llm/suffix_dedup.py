@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ._common import binary_buffers, mix64, one_per_id, partitions_for, ship, split_batch
 
 Q = 32
+#: Texts of about so many bytes are hashed at once; arrays of 8 bytes for each byte of text then stay small.
+TEXT_BYTES = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -89,32 +91,37 @@ def _by_owner(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, list[by
 # Pass 1: which anchors occur elsewhere
 
 
-def announce(docs: DataFrame, length: int, parts: int) -> DataFrame:
+def announce(docs: DataFrame, length: int, parts: int, most: int = 250_000) -> DataFrame:
     """Rows (part, kind, docs, marks): for kind 0 the low hash halves of anchors and their documents, one for each hash
     and batch; for kind 1 anchors already known to repeat inside a batch."""
     names = ["part", "kind", "docs", "marks"]
 
+    def flush(found: list[tuple]) -> pa.RecordBatch:
+        h, ids = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, ids = h[order], ids[order]
+        first = np.concatenate(([True], h[1:] != h[:-1]))
+        many = ~first | np.concatenate((~first[1:], [False]))
+        rows = [(int(part_of(h[:1], parts)[0]), 1, ids[many].astype("<i8").tobytes(), h[many].astype("<u4").tobytes())] if many.any() else []
+        h, ids = h[first], ids[first]
+        cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+        rows += [(p, 0, ids[a:b].astype("<i8").tobytes(), h[a:b].astype("<u4").tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        cols = list(zip(*rows, strict=True))
+        return _batch(names, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for whole in batches:
-            for batch in split_batch(whole, "text_", 8 << 20):
+            for batch in split_batch(whole, "text_", TEXT_BYTES):
                 offsets, raw = binary_buffers(batch.column(1))
                 _, doc, h = anchors(raw, offsets, length)
-                if not len(h):
-                    continue
-                ids = batch.column(0).to_numpy()[doc]
-                order = np.argsort(h, kind="stable")
-                h, ids = h[order], ids[order]
-                first = np.concatenate(([True], h[1:] != h[:-1]))
-                many = ~first | np.concatenate((~first[1:], [False]))
-                rows = [(int(part_of(h[:1], parts)[0]), 1, ids[many].astype("<i8").tobytes(), h[many].astype("<u4").tobytes())] if many.any() else []
-                h, ids = h[first], ids[first]
-                cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
-                for p in range(parts):
-                    a, b = cut[p], cut[p + 1]
-                    if b > a:
-                        rows.append((p, 0, ids[a:b].astype("<i8").tobytes(), h[a:b].astype("<u4").tobytes()))
-                cols = list(zip(*rows, strict=True))
-                yield _batch(names, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()))
+                found.append((h, batch.column(0).to_numpy()[doc]))
+                size += len(h)
+                if size >= most:
+                    yield flush(found)
+                    found, size = [], 0
+        if size:
+            yield flush(found)
 
     return docs.mapInArrow(run, "part int, kind int, docs binary, marks binary")
 
@@ -321,7 +328,7 @@ def earlier_copies(shared: np.ndarray, right_n: np.ndarray, back: np.ndarray, ba
     return doc[hit], pos[hit] - high[hit], pos[hit] - low[hit] + length
 
 
-def sorted_runs(docs: DataFrame, length: int, parts: int, most: int = 100_000) -> DataFrame:
+def sorted_runs(docs: DataFrame, length: int, parts: int, most: int = 60_000) -> DataFrame:
     """Rows (part, kind, data): kind 0 a front-coded run of one range, kind 1 spans settled inside a task."""
     names = ["part", "kind", "data"]
 
@@ -348,7 +355,7 @@ def sorted_runs(docs: DataFrame, length: int, parts: int, most: int = 100_000) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for whole in batches:
-            for batch in split_batch(whole, "text"):
+            for batch in split_batch(whole, "text", TEXT_BYTES):
                 offsets, raw = binary_buffers(batch.column(1))
                 at, doc, h = anchors(raw, offsets, length)
                 marks, ids = batch.column(2), batch.column(0).to_numpy()
