@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent.parent
@@ -91,6 +91,21 @@ def one_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.min(text).alias("text"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_struct(df: DataFrame) -> Column:
+    """All columns as one, ``row_``, so that helper columns can't clash with a table's own."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row_")
+
+
+def from_struct(df: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns of ``row_`` again; ``new`` ones take the place of those of the same name, or follow."""
+    own = [new.get(c, F.col("row_")[c]).alias(c) for c in columns]
+    return df.select(*own, *(v.alias(k) for k, v in new.items() if k not in columns))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,9 +138,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def split_batch(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def split_batch(batch: pa.RecordBatch, text: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (a longer single text stays whole)."""
-    offsets, _ = binary_buffers(batch.column(batch.schema.get_field_index(text)))
+    offsets, _ = binary_buffers(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1

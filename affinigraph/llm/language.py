@@ -137,15 +137,16 @@ def identify(docs: DataFrame, model: ByteConvNet | None, key: str = "doc_id", te
     as is every text if there is no model. Only the text is looked at. ``keep``: columns to carry along, besides the text with ``keep_text``."""
     ship(docs.sparkSession)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(F.col(text).alias("text_"), letters.alias("letters_"), *keep)
-    schema = source.drop("text_", "letters_").schema
+    source = docs.select(F.col(text), letters, *keep)
+    source = source.toDF(*(f"c{i}" for i in range(len(source.columns))))
+    schema = docs.select(*keep).schema
     if keep_text:
         schema = schema.add(text, "string")
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in split_batch(whole, "text_"):
+            for batch in split_batch(whole, 0):
                 has = batch.column(1).to_numpy(zero_copy_only=False)
                 if model is None:
                     pred, score = [UNDETERMINED] * len(has), np.zeros(len(has))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import as_struct, from_struct, materialize
 
 BLANKS = " \t\r"
 
@@ -45,7 +45,7 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12, margin: float
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """All rows and columns of ``docs`` with the remaining text, and ``n_lines``, ``n_removed``.
+    """All rows and columns of ``docs`` with the remaining text, and ``n_lines``, ``n_removed`` (in place of columns so named).
 
     Lines are compared without blanks at their ends; blank lines never count as boilerplate. A null site is no site. A null
     text stays null, with no lines. Repeated rows keep or lose the same lines; among ids, a null comes last.
@@ -53,11 +53,13 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, key: str = "doc_id"
     lines = materialize(line_table(docs, key, text, site), "lines")
     bad = materialize(boilerplate(lines, min_sites), "boilerplate")
     drop = lines.join(bad, "h").where(~F.col("doc_").eqNullSafe(F.col("first_"))).groupBy("doc_", "text_").agg(F.collect_set("h").alias("drop_"))
-    joined = docs.withColumns({"key_": F.col(key).cast("long"), "hash_": F.xxhash64(text)}).join(drop, F.col("key_").eqNullSafe(F.col("doc_")) & (F.col("hash_") == F.col("text_")), "left")
-    split = F.split(text, "\n")
+    rows = docs.select(as_struct(docs), F.col(key).cast("long").alias("key_"), F.xxhash64(text).alias("hash_"))
+    joined = rows.join(drop, F.col("key_").eqNullSafe(F.col("doc_")) & (F.col("hash_") == F.col("text_")), "left")
+    split = F.split(F.col("row_")[text], "\n")
     kept = F.when(F.col("drop_").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains("drop_", line_hash(x)) | (F.btrim(x, F.lit(BLANKS)) == "")))
-    return (
-        joined.withColumn("kept_", kept)
-        .withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(split) - F.size("kept_"), F.lit(0)).cast("long"), text: F.array_join("kept_", "\n")})
-        .drop("key_", "hash_", "doc_", "text_", "drop_", "kept_")
-    )
+    new = {
+        "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.size(split) - F.size("kept_"), F.lit(0)).cast("long"),
+        text: F.array_join("kept_", "\n"),
+    }
+    return from_struct(joined.withColumn("kept_", kept), docs.columns, new)

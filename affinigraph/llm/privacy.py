@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import as_struct, from_struct, materialize
 
 #: Tables of at most so many bytes, measured, are sent to every task; larger ones are joined by a shuffle.
 SENT_BYTES = 8 << 20
@@ -125,26 +125,27 @@ def disclosing_terms(docs: DataFrame, disclosure: float, support: int, text: str
 
 
 def sanitise(docs: DataFrame, disclosure: float = 0.8, support: int = 3, action: str = "generalise", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``base`` and ``spans`` (arrays of kind, start, end, value) and ``clean_text``.
+    """All rows and columns of ``docs`` with ``base`` and ``spans`` (arrays of kind, start, end, value) and ``clean_text``, in
+    place of columns so named.
 
     Spans of disclosing terms follow the base spans. Overlapping spans are masked as one, under the kind of the first. Null
     texts have no spans and stay null; repeated rows get the same result each; ids may be null.
     """
     if action not in ("generalise", "remove"):
         raise ValueError("action must be generalise or remove")
-    found = with_base(docs, text).withColumns({"key_": F.xxhash64(key, text), "of_": F.col(key)})
-    told = sent_if_small(materialize(disclosing_terms(found, disclosure, support, text), "disclosing"))
+    found = with_base(docs.select(as_struct(docs), F.col(text).alias("own_"), F.col(key).alias("of_"), F.xxhash64(key, text).alias("key_")), "own_")
+    told = sent_if_small(materialize(disclosing_terms(found, disclosure, support, "own_"), "disclosing"))
     telling = (
         found.where(F.size("base_") > 0).select("of_", "key_", F.explode(F.array_distinct(F.transform("base_", lambda s: entity(s["value"])))).alias("entity"))
         .join(told, "entity").groupBy(F.col("of_").alias("of2_"), F.col("key_").alias("key2_")).agg(F.collect_set("term").alias("terms_"))
     )
     telling = sent_if_small(materialize(telling, "telling"))
     with_terms = found.join(telling, F.col("of_").eqNullSafe(F.col("of2_")) & (F.col("key_") == F.col("key2_")), "left")
-    words = _located(F.split(text, _WORD), F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)), "term")
+    words = _located(F.split("own_", _WORD), F.regexp_extract_all(F.col("own_"), F.lit(_WORD), F.lit(0)), "term")
     outside = lambda w: ~F.exists("base_", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
     extra = F.when(F.col("terms_").isNull(), F.array().cast(SPAN)).otherwise(F.filter(words, lambda w: F.array_contains("terms_", F.lower(w["value"])) & outside(w)))
-    spans = with_terms.withColumns({"base": F.col("base_"), "spans": F.concat("base_", extra)}).drop("base_", "of_", "key_", "of2_", "key2_", "terms_")
-    return spans.withColumn("clean_text", masked(F.col(text), F.col("spans"), action))
+    out = with_terms.withColumn("spans_", F.concat("base_", extra))
+    return from_struct(out, docs.columns, {"base": F.col("base_"), "spans": F.col("spans_"), "clean_text": masked(F.col("own_"), F.col("spans_"), action)})
 
 
 def masked(text: Column, spans: Column, action: str) -> Column:

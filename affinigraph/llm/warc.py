@@ -41,15 +41,14 @@ def _record(kind: str | Column, rid: Column, headers: list[Column], mime: str, b
     return F.concat(F.concat_ws(BREAK, *fixed), F.lit(BREAK * 2), block)
 
 
-def with_roles(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """Adds ``digest_`` and ``winner_``: of rows with equal payloads of at least ``min_bytes`` the largest id is the
+def with_roles(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """(page_, url_, body_, digest_, winner_): of rows with equal payloads of at least ``min_bytes`` the largest id is the
     response; smaller payloads are responses of their own. Digests are combined before the shuffle, and the join back is
     one that Spark splits where a payload is common."""
-    body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.withColumns({payload: body, "page_": F.col(key).cast("long")}).withColumn("digest_", base32_sha1(F.col(payload)))
+    rows = pages.select(F.col(key).cast("long").alias("page_"), F.col(url).alias("url_"), F.coalesce(F.col(payload), F.lit("")).alias("body_")).withColumn("digest_", base32_sha1(F.col("body_")))
     best = rows.groupBy(F.col("digest_").alias("of_")).agg(F.max("page_").alias("best_"))
     joined = rows.join(best, rows.digest_ == best.of_)
-    return joined.withColumn("winner_", F.when(F.octet_length(payload) >= min_bytes, F.col("best_")).otherwise(F.col("page_"))).drop("of_", "best_")
+    return joined.withColumn("winner_", F.when(F.octet_length("body_") >= min_bytes, F.col("best_")).otherwise(F.col("page_"))).drop("of_", "best_")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 500, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -58,16 +57,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     Rows that agree in id and payload share their record ids and are one capture; so are rows without an id that agree in
     payload.
     """
-    rows = with_roles(pages, min_bytes, key, payload)
+    rows = with_roles(pages, min_bytes, key, url, payload)
     is_response = F.col("page_").eqNullSafe(F.col("winner_"))
     rid = {k: _id(F.lit(k), F.col("page_"), F.col("digest_")) for k in ("request", "capture", "metadata")}
-    target = F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A")
+    target = F.regexp_replace(F.regexp_replace("url_", "\r", "%0D"), "\n", "%0A")
     common = [F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), target)]
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), rid["capture"])
     host, rest = F.regexp_extract(target, r"^[a-z]+://([^/?#]*)", 1), F.regexp_extract(target, r"^[a-z]+://[^/?#]*([^#]*)", 1)
     ask = F.concat(F.lit("GET "), F.coalesce(F.when(rest == "", "/").otherwise(rest), F.lit("/")), F.lit(" HTTP/1.1" + BREAK + "Host: "), F.coalesce(host, F.lit("")), F.lit(BREAK * 2))
-    head = F.concat(F.lit("HTTP/1.1 200 OK" + BREAK + "Content-Type: text/html; charset=utf-8" + BREAK + "Content-Length: "), F.octet_length(payload).cast("string"), F.lit(BREAK * 2))
-    body = F.when(is_response, F.concat(head, F.col(payload))).otherwise(head)
+    head = F.concat(F.lit("HTTP/1.1 200 OK" + BREAK + "Content-Type: text/html; charset=utf-8" + BREAK + "Content-Length: "), F.octet_length("body_").cast("string"), F.lit(BREAK * 2))
+    body = F.when(is_response, F.concat(head, F.col("body_"))).otherwise(head)
     answer = [*common, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest_")), F.when(~is_response, F.concat(F.lit("WARC-Refers-To: "), _id(F.lit("capture"), F.col("winner_"), F.col("digest_")))), F.when(~is_response, F.lit(f"WARC-Profile: {PROFILE}"))]
     notes = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_").cast("string"), F.lit("")), F.lit(BREAK))
     records = [
