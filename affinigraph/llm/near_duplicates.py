@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, words: int, k: int, key: str = "doc_id", text: str
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text_")).mapInArrow(run, SETS)
 
 
-def candidates(classes: DataFrame, k: int, short: int, threshold: float) -> DataFrame:
+def candidates(classes: DataFrame, k: int, short: int, threshold: float, hot: int = 16) -> DataFrame:
     """Edges (a, b) that bring together all classes that may reach the threshold. ``classes``: id, n, sketch."""
     postings = classes.select("id", "n", F.explode("sketch").alias("v"))
     counts = postings.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") >= 2)
@@ -129,8 +129,10 @@ def candidates(classes: DataFrame, k: int, short: int, threshold: float) -> Data
     pairs = pairs.join(common, pairs.a == common.id, "left")
     edges = pairs.where(F.col("shared") >= F.greatest(F.lit(1), kept - F.coalesce("hot", F.lit(0)) - slack)).select("a", "b")
 
-    mostly = common.join(classes.select("id", "n"), "id").where(4 * F.col("hot") >= F.least(F.col("n"), F.lit(k))).select("id")
-    shared = lists.where(F.col("c") > short).join(mostly, "id").select("v", "id")
+    # The same bottom-k rule among common values: the ``hot`` smallest of a class are enough to meet its likes.
+    long = lists.where(F.col("c") > short).groupBy("id", "n").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    mostly = long.where(4 * F.size("vs") >= F.least(F.col("n"), F.lit(k)))
+    shared = materialize(mostly.select("id", F.explode(F.slice("vs", 1, hot)).alias("v")), "common_lists")
     stars = shared.join(shared.groupBy("v").agg(F.min("id").alias("b")), "v").select(F.col("id").alias("a"), "b").where(F.col("a") != F.col("b"))
     return edges.unionByName(stars)
 
@@ -202,7 +204,7 @@ def verified(docs: DataFrame, groups: DataFrame, words: int, percent: int, block
                 own = [fingerprint(s) == (a, b) for s, a, b in zip(sets, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"]).filter(pa.array(own, pa.bool_()))
 
-    wanted = g.select("id", "f1", "f2")
+    wanted = g.select("id", "f1", "f2").hint("merge")  # the ids grow with the documents: never sent whole
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text_")).join(wanted, "id").select("text_", "id", "f1", "f2")
     members = rows.mapInArrow(again, "id long, members binary")
     placed = g.join(left.unionByName(right), ["label", "cls", "part"]).select("id", "n", "label", "unit", "side")
@@ -221,7 +223,7 @@ def verified(docs: DataFrame, groups: DataFrame, words: int, percent: int, block
     return work.groupBy("label", "unit").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, short: int = 48, block: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = 64, short: int = 48, block: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each non-null id.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. Null and empty texts have no
