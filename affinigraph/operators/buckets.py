@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import bin_of, java_doubles, signature
 from ..sources.points import width_of
+from ..sources.store import settle
 
 BINS = 20
 
@@ -66,9 +67,9 @@ def thresholds(hist: DataFrame, features: DataFrame, spans: DataFrame) -> DataFr
 
 def fit_hash(points: DataFrame, n: int | None = None, seed: int = 3) -> DataFrame:
     """(bit, pos, threshold) learnt from the points."""
-    spans = span_shares(column_stats(points))
-    features = draw_features(spans, bit_count(points.count() if n is None or n < 0 else n), seed)
-    return thresholds(histogram(points, features, spans), features, spans)
+    spans = settle(span_shares(column_stats(points)))
+    features = settle(draw_features(spans, bit_count(points.count() if n is None or n < 0 else n), seed))
+    return settle(thresholds(histogram(points, features, spans), features, spans))
 
 
 def signatures(points: DataFrame, hash_bits: DataFrame) -> DataFrame:

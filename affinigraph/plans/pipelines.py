@@ -17,25 +17,25 @@ from pyspark.sql import functions as F
 
 from ..operators import clustering, metrics
 from ..sources import datagen, points
+from ..sources.store import settle
 
 
 def load(spark: SparkSession, path: str, parts: int) -> DataFrame:
     """Distinct vectors of a CSV file or folder, numbered in their own order."""
     v = points.read_csv_vectors(spark, path).distinct()
-    return points.dense_index(v, "v").select(F.col("idx").alias("id"), "v").repartition(parts, "id").persist()
+    return settle(points.dense_index(v, "v").select(F.col("idx").alias("id"), "v").repartition(parts, "id"))
 
 
 def report(strategy, data: DataFrame) -> dict:
     """Fits and measures: centres, sizes, seconds and the quality figures."""
     began = time.perf_counter()
     model = strategy.fit(data)
-    assigned = model.predict_all().persist()
+    assigned = settle(model.predict_all())
     sizes = {r.cluster: r.n for r in metrics.cluster_sizes(assigned).collect()}
     seconds = time.perf_counter() - began
     out = {"centers": model.centers, "sizes": sizes, "seconds": seconds}
     for f in (metrics.ase, metrics.dbi, metrics.wssse):
         out[f.__name__] = f(assigned).first()[0]
-    assigned.unpersist()
     return out
 
 
