@@ -112,16 +112,20 @@ def disclosing_terms(docs: DataFrame, disclosure: float, support: int, text: str
     known = named.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
     pairs = named.join(known, "entity").join(lines.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))).alias("term")), "h")
     pairs = pairs.where(~F.col("entity").contains(F.col("term")) & F.col("term").rlike(r"\p{L}")).groupBy("entity", "term", "n_entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = materialize(pairs, "pairs")
-    terms = sent_if_small(materialize(pairs.select("term").distinct(), "terms"))
     everywhere = docs.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
+    total = F.lit(everywhere.agg(F.approx_count_distinct(F.xxhash64("line"), 0.02).alias("total")).first().total)
+    # The threshold bounds a telling term's lines by n_both (total / n_entity) ** (1 - disclosure). Protected lines alone
+    # rule out common words, before all lines are counted.
+    most = F.col("n_both") * F.pow(F.greatest(total, F.col("n_entity")) / F.col("n_entity"), F.lit(1 - disclosure)) * 1.001
+    inside = lines.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_inside"))
+    pairs = materialize(pairs.join(inside, "term").where(F.col("n_inside") <= most).drop("n_inside"), "pairs")
+    terms = sent_if_small(materialize(pairs.select("term").distinct(), "terms"))
     words = everywhere.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))).alias("term"))
     seen = words.join(terms, "term", "left_semi").groupBy("term", "h").agg(F.count("*").alias("copies")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = everywhere.agg(F.approx_count_distinct(F.xxhash64("line"), 0.02).alias("total"))
-    scored = pairs.join(seen, "term").crossJoin(F.broadcast(total))
-    pmi = F.log(F.col("n_both") * F.greatest("total", "n_term", "n_entity") / (F.col("n_entity") * F.col("n_term")))
-    information = F.log(F.greatest("total", "n_term", "n_entity") / F.col("n_entity"))
-    return scored.where(pmi >= disclosure * information).select("entity", "term")
+    n = F.greatest(total, F.col("n_term"), F.col("n_entity"))
+    pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
+    information = F.log(n / F.col("n_entity"))
+    return pairs.join(seen, "term").where(pmi >= disclosure * information).select("entity", "term")
 
 
 def sanitise(docs: DataFrame, disclosure: float = 0.8, support: int = 3, action: str = "generalise", key: str = "doc_id", text: str = "text") -> DataFrame:
