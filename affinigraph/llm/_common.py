@@ -91,6 +91,13 @@ def one_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.min(text).alias("text"))
 
 
+def sampled(df: DataFrame, h: Column, n: int) -> DataFrame:
+    """Rows with the smallest hashes, some more than ``n`` of them: for bounded samples, so that an ordered limit gets few
+    rows from each task however many tasks there are."""
+    share = min(1.0, (1.2 * n + 1000) / max(1, df.count()))
+    return df if share == 1 else df.where(h < F.lit(int(-(2**63) + share * 2**64)).cast("long"))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_buffers, ship, split_batch
+from ._common import binary_buffers, sampled, ship, split_batch
 
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
@@ -117,9 +117,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     Only these windows reach the driver (1.5 MB by default). None if there is nothing to learn from.
     """
     place = F.pmod(F.xxhash64(key, F.lit("place")), F.greatest(F.lit(1), F.length(text) - window + 1)) + 1
+    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     rows = (
-        docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-        .select(F.xxhash64(key).alias("h"), F.col(label).alias("y"), F.col(text).substr(place.cast("int"), F.lit(window)).alias("x"))
+        sampled(known, F.xxhash64(key), sample).select(F.xxhash64(key).alias("h"), F.col(label).alias("y"), F.col(text).substr(place.cast("int"), F.lit(window)).alias("x"))
         .orderBy("h", "y", "x").limit(sample).collect()
     )
     if not rows:

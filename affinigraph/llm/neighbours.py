@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, ship
+from ._common import materialize, sampled, ship
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -114,7 +114,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, lists: int = 256,
         return empty
     dim = common[0].d
     v = v.where(F.size("v") == dim)
-    rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    rows = sampled(v, F.xxhash64("vec_id"), sample).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     index = ListIndex.fit(np.array([r.v for r in rows]), lists, recall, k)
 
     def place(probes: int):
