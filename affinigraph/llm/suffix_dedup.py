@@ -379,7 +379,7 @@ def sorted_runs(docs: DataFrame, length: int, parts: int, most: int = 60_000) ->
     return docs.mapInArrow(run, "part int, kind int, data binary")
 
 
-def merged_spans(runs: DataFrame, length: int, parts: int, most: int = 100_000) -> DataFrame:
+def merged_spans(runs: DataFrame, length: int, parts: int, most: int = 40_000) -> DataFrame:
     """(doc_id, spans): for each document the spans that the ranges and the tasks found, as pairs of 64-bit numbers."""
 
     def settle(chunk: list[tuple], runs: list[Run]) -> tuple:
@@ -449,7 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
         raise ValueError(f"length must be {Q + 8} or more")
     spark = docs.sparkSession
     ship(spark)
-    parts = partitions_for(spark)
+    parts = 2 * partitions_for(spark)  # a task holds its ranges' runs unpacked, at several times their size in the shuffle
     base = one_per_id(docs, key, text)
     source = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length)).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text_"))
     marked = base.join(repeated(announce(source, length, parts), parts), "doc_id").select("doc_id", "text", "marks")
