@@ -68,7 +68,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     at = np.nonzero(_slide(padded, w, np.maximum) == small)[0]
     doc = np.searchsorted(offsets, at, "right") - 1
     ok = at + Q <= offsets[doc + 1]
-    return at[ok], doc[ok], h[at[ok]]
+    return at[ok], doc[ok], mix64(h[at[ok]])  # the least hashes are all small; ranges need even ones
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
