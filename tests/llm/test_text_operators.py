@@ -303,6 +303,31 @@ def test_decontamination(spark):
     assert find_leaks(table(spark, []), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_parts_at_any_offset(spark):
+    from affinigraph.llm.decontaminate import find_leaks
+
+    rng = random.Random(8)
+    items = [words(rng, 60, 10**6) for _ in range(4)]
+    frame = [words(rng, 40, 10**6) for _ in range(2)]
+    rows, want = [], set()
+    for n in (64, 75, 90, 119, 140):
+        for at in (0, 1, 17, 31, 45, 59, 77):
+            for k in (0, 1):
+                part = items[k][at : at + n]
+                if n > 100 and at % 2:  # edits in 8 % of the bytes at most
+                    part = part[:20] + "#" + part[21:60] + part[61:]
+                want.add((len(rows), k))
+                rows.append((len(rows), frame[0] + part + frame[1], "en", "s"))
+    short = [(1000 + at, frame[0] + items[2][at : at + 40] + frame[1], "en", "s") for at in (0, 30)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = find_leaks(table(spark, rows + short), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r.edits == 0:
+            assert text[r.doc_id].encode()[r.start_byte : r.end_byte].decode().lower() in items[r.item_id].lower()
+
+
 # 10
 
 
