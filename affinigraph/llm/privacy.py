@@ -2,8 +2,8 @@
 
 Patterns find the protected entities. Terms that reveal an entity are found in the corpus: over distinct lines, the
 pointwise mutual information of a term and an entity is compared with the entity's information content. A term for which
-log p(c, t) / (p(c) p(t)) reaches ``disclosure`` times -log p(c), on at least ``support`` lines, is disclosing: it is
-generalised or removed in the documents that name the entity.
+log p(c, t) / (p(c) p(t)) reaches ``disclosure`` times -log p(c) is disclosing: it is generalised or removed in the documents
+that name the entity. Every entity is judged; a pair on fewer than ``support`` lines counts DISCOUNT lines less.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from ._common import as_struct, from_struct, materialize
 #: Tables of at most so many bytes, measured, are sent to every task; larger ones are joined by a shuffle.
 SENT_BYTES = 8 << 20
 
+#: What a pair on few lines counts less, so that chance in a small corpus is not disclosing.
+DISCOUNT = 0.5
+
 #: Kinds in reporting order. Each pattern finds the same leftmost matches as its plain form, but a run is tried once, from
 #: its start or from the end of the last match, and loops are possessive: no text makes them slow.
 PATTERNS = {
@@ -101,17 +104,17 @@ def entity(value: Column) -> Column:
 def disclosing_terms(docs: DataFrame, disclosure: float, support: int, text: str) -> DataFrame:
     """(entity, term) pairs whose mutual information reaches the threshold, from counts over all distinct lines.
 
-    Entities on fewer than ``support`` distinct lines can't be judged and drop out first. Line copies count once, so that
-    copied documents don't make their words look telling.
+    Line copies count once, so that copied documents don't make their words look telling.
     """
     lines = docs.where(F.col("base_").isNotNull() & (F.size("base_") > 0)).select(F.explode(F.split(text, "\n")).alias("line"))
     lines = lines.where(F.col("line").rlike(r"[@+]|[0-9][0-9. -]{5}"))
     lines = with_base(lines, "line").where(F.size("base_") > 0).groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("line", "base_")).alias("x"))
     lines = materialize(lines.select("h", F.array_distinct(F.transform("x.base_", lambda s: entity(s["value"]))).alias("entities"), F.col("x.line").alias("line")), "protected")
     named = lines.select("h", F.explode("entities").alias("entity"))
-    known = named.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    known = named.groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = named.join(known, "entity").join(lines.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))).alias("term")), "h")
-    pairs = pairs.where(~F.col("entity").contains(F.col("term")) & F.col("term").rlike(r"\p{L}")).groupBy("entity", "term", "n_entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    pairs = pairs.where(~F.col("entity").contains(F.col("term")) & F.col("term").rlike(r"\p{L}")).groupBy("entity", "term", "n_entity").agg(F.count("*").alias("n_both"))
+    pairs = pairs.withColumn("n_both", F.when(F.col("n_both") < support, F.col("n_both") - DISCOUNT).otherwise(F.col("n_both")))
     everywhere = docs.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
     total = F.lit(everywhere.agg(F.approx_count_distinct(F.xxhash64("line"), 0.02).alias("total")).first().total)
     # The threshold bounds a telling term's lines by n_both (total / n_entity) ** (1 - disclosure). Protected lines alone

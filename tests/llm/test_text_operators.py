@@ -267,6 +267,17 @@ def test_privacy_discloses(spark):
     assert "[" not in gone[0] and "chief@corp" not in gone[0]
 
 
+def test_privacy_discloses_entities_seen_once(spark):
+    from affinigraph.llm.privacy import sanitise
+
+    rows = [(0, "the quixwort of the office answers as lone@corp.example today", "en", "s")]
+    rows += [(10 + i, f"the office of floor {i} answers today", "en", "s") for i in range(60)]
+    got = {r.doc_id: r for r in sanitise(table(spark, rows)).collect()}
+    assert {s.value for s in got[0].spans if s.kind == "term"} >= {"quixwort"}
+    assert not {s.value for s in got[0].spans} & {"the", "office", "of", "answers", "today"}
+    assert all(got[10 + i].clean_text == got[10 + i].text for i in range(60))
+
+
 # 9
 
 
