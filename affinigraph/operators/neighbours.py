@@ -23,6 +23,20 @@ def pair_distances(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).select("i", "j", squared_distance("x", "y", width).alias("d"))
 
 
+def all_pairs(points: DataFrame, sent_bytes: int = SENT_BYTES, block: int = 4096) -> DataFrame:
+    """(i, j, d) of every two points, each with itself too; a table of more than ``sent_bytes`` is joined block by block."""
+    width = width_of(points)
+    n = points.count()
+    if n * width * 8 <= sent_bytes:
+        return pair_distances(points, points, width)
+    parts = max(1, -(-n // block))
+    p = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asks = p.select(F.col("own").alias("a"), other.alias("b"), F.col("id").alias("i"), F.col("v").alias("x"))
+    told = p.select(other.alias("a"), F.col("own").alias("b"), F.col("id").alias("j"), F.col("v").alias("y"))
+    return asks.join(told, ["a", "b"]).select("i", "j", squared_distance("x", "y", width).alias("d"))
+
+
 def first_per_row(pairs: DataFrame, t: int) -> DataFrame:
     """The t smallest d of each i, ties to the smaller j."""
     order = Window.partitionBy("i").orderBy("d", "j")

@@ -132,6 +132,13 @@ def pair_sqdist(spark, d):
     return rounded(neighbours.pair_distances(p, p.where("id < 20"), WIDTH).select(F.col("j").alias("i"), F.col("i").alias("j"), "d"), "d")
 
 
+@query(f"{P} SELECT a.id AS i, count(*) AS n, round(sum({DIST}), 4) AS total, round(min({DIST}), 6) AS low, round(max({DIST}), 6) AS high FROM p a, p b GROUP BY a.id")
+def pair_sqdist_all(spark, d):
+    """Every point with every point; the distances of each are digested, as there are n squared."""
+    pairs = neighbours.all_pairs(embeddings(spark, d))
+    return pairs.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("d"), 4).alias("total"), r6(F.min("d")).alias("low"), r6(F.max("d")).alias("high"))
+
+
 @query(f"{KNN} SELECT i, j, rank, round(d, 6) AS d FROM k")
 def knn_t(spark, d):
     return rounded(near(spark, d), "d")

@@ -65,6 +65,14 @@ def test_blocks_agree_with_pairs(nine):
     assert b == {(r.i, r.j, r.rank) for r in neighbours.bucket_neighbours(own, 3, block=2).collect()}
 
 
+def test_all_pairs(nine):
+    x = np.array(NINE)
+    want = ((x[:, None] - x[None]) ** 2).sum(2)
+    for sent in (neighbours.SENT_BYTES, 0):
+        got = {(r.i, r.j): r.d for r in neighbours.all_pairs(nine, sent_bytes=sent, block=2).collect()}
+        assert len(got) == 81 and all(math.isclose(v, want[k], abs_tol=1e-9) for k, v in got.items())
+
+
 def test_bucket_goldens(nine, spark):
     np.testing.assert_allclose(fv.java_doubles(3, 4), [0.731057369149, 0.070992034752, 0.067120009390, 0.768156984078], atol=1e-12)
     bits = buckets.fit_hash(nine)
