@@ -258,6 +258,11 @@ LSH_KNN = f"""{SIGS}, ps AS (SELECT p.id, p.v, sg.sig FROM p JOIN sg ON sg.id =
 k AS (SELECT i, j, d, rank FROM (SELECT a.id AS i, b.id AS j, {DIST} AS d, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS INTEGER) AS rank FROM ps a JOIN ps b ON a.sig = b.sig) WHERE rank <= {LSH_T}),
 e AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM k UNION ALL SELECT j, i, d FROM k) GROUP BY i, j), s AS (SELECT i, j, exp(-d * d / ({SIGMA} * {SIGMA})) AS s FROM e), g AS (SELECT i, sqrt(sum(s)) AS root FROM s GROUP BY i)"""
 
+# The same inside the grouped buckets
+BUCKET_KNN = f"""{LEAD}, ps AS (SELECT p.id, p.v, bk.bucket FROM p JOIN bk ON bk.id = p.id),
+k AS (SELECT i, j, d, rank FROM (SELECT a.id AS i, b.id AS j, {DIST} AS d, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS INTEGER) AS rank FROM ps a JOIN ps b ON a.bucket = b.bucket) WHERE rank <= {LSH_T}),
+e AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM k UNION ALL SELECT j, i, d FROM k) GROUP BY i, j), s AS (SELECT i, j, exp(-d * d / ({SIGMA} * {SIGMA})) AS s FROM e), g AS (SELECT i, sqrt(sum(s)) AS root FROM s GROUP BY i)"""
+
 
 def spans(spark, d):
     return buckets.span_shares(buckets.column_stats(embeddings(spark, d), WIDTH))
@@ -337,6 +342,25 @@ def lsh_matrix(spark, d):
     return rounded(graph.graph_matrix(graph.width_affinity(lsh_near(spark, d), SIGMA)), "w")
 
 
+def bucket_near(spark, d):
+    return neighbours.bucket_neighbours(buckets.buckets(signed(spark, d)).select("id", "v", "bucket"), LSH_T)
+
+
+@query(f"{BUCKET_KNN} SELECT i, j, rank, round(d, 6) AS d FROM k")
+def lsh_bucket_knn(spark, d):
+    return rounded(bucket_near(spark, d), "d")
+
+
+@query(f"{BUCKET_KNN} SELECT i, j, round(s, 6) AS s FROM s")
+def lsh_bucket_affinity(spark, d):
+    return rounded(graph.width_affinity(bucket_near(spark, d), SIGMA), "s")
+
+
+@query(f"{BUCKET_KNN} SELECT s.i, s.j, round(a.root * s * b.root, 6) AS w FROM s JOIN g a ON a.i = s.i JOIN g b ON b.i = s.j")
+def lsh_bucket_matrix(spark, d):
+    return rounded(graph.graph_matrix(graph.width_affinity(bucket_near(spark, d), SIGMA)), "w")
+
+
 # Landmarks: for checking, every 50th point; the strategy itself draws them
 
 LM_SIGMA = 8.0

@@ -214,6 +214,14 @@ def test_pipelines(spark, tmp_path, capsys):
     assert pipelines.main(["lsh", "too", "few"]) == 2
 
 
+def test_neighbours_cross_signatures(spark):
+    d = "/root/testdata/sf0.1"
+    sig = {r.id: r.sig for r in catalogue.queries()["lsh_signatures"](spark, d).collect()}
+    bucket = {r.id: r.bucket for r in catalogue.queries()["lsh_buckets"](spark, d).collect()}
+    near = catalogue.queries()["lsh_bucket_knn"](spark, d).collect()
+    assert all(bucket[r.i] == bucket[r.j] for r in near) and any(sig[r.i] != sig[r.j] for r in near)
+
+
 ORACLES = sorted(catalogue.oracle_sql())
 
 
