@@ -162,6 +162,12 @@ def test_eigen_tiers(spark):
     assert all(len(r.e) == 3 for r in eigen.spectral_rows(low, 3).collect())
 
 
+def test_eigen_unconverged(spark):
+    edges = spark.createDataFrame([(i, i, 1.0 + i / 100) for i in range(40)], "i long, j long, w double")
+    with pytest.raises(RuntimeError, match="still change"):
+        eigen.spectral_rows(edges, 3, dense=10, rounds=3)
+
+
 def test_edge_cases(spark):
     same = points.from_rows(spark, [[1.0, 2.0]] * 6)
     near = neighbours.neighbours(same, 2)
