@@ -71,6 +71,19 @@ def test_suffix_dedup_defined_cases(spark):
     assert (r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept), r.spans) == (1, 150, 149, b"a", [[1, 150]])
 
 
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_suffix_dedup_of_a_common_passage(spark, hot):
+    """One passage in many texts whose surroundings differ, so that its q-grams meet everywhere; hot ones go by windows."""
+    from affinigraph.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(8)
+    passage = words(rng, 40)
+    rows = [(i, words(rng, rng.randrange(1, 30), 10**6) + passage + words(rng, rng.randrange(1, 30), 10**6), "en", "s") for i in range(60)]
+    rows += [(100 + i, passage * 3 + "x" * i, "en", "s") for i in range(4)]
+    got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(table(spark, rows), hot=hot, range_bytes=4096).collect()}
+    assert got == removed([r[:2] for r in rows], 100)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=0, max_size=6), max_size=12).map(sorted), min_size=1, max_size=7))
 def test_loser_tree(runs):
