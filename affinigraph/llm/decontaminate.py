@@ -4,7 +4,8 @@ A benchmark item is cut into overlapping pieces of at most ``piece`` bytes. If a
 most e edits, the two share at least L + 1 - q (e + 1) q-grams, on diagonals that differ by at most e. Every document is
 scanned once: shared q-grams are counted in overlapping diagonal bands, bands that reach the bound are retained, and a
 banded alignment decides. Parts of an item that fill no piece are found by windows of ``passage`` bytes at every offset: the
-shared q-grams of a whole item are counted, band by band, in a sliding window. Case is folded (A-Z and Latin-1) and white space bytes count as blanks on both sides.
+shared q-grams of a whole item are counted, band by band, in a sliding window. Case is folded (A-Z and Latin-1) and white
+space bytes count as blanks on both sides.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_buffers, ship, split_batch
+from ._common import binary_buffers, materialize, ship, split_batch
 
 LEAKS = "doc_id long, item_id long, n_regions long, start_byte long, end_byte long, edits long"
 _UNIT = 1 << 20  # one edit in the alignment's cost; the rest of the number is the origin
@@ -34,12 +35,19 @@ def fold(b: np.ndarray) -> np.ndarray:
     return out
 
 
+def crowded(key: np.ndarray, least: np.ndarray | int) -> np.ndarray:
+    """Whether ``least`` entries may share a key: they are counted in a table by a hash, so that some more pass."""
+    bits = min(24, max(12, int(4 * len(key)).bit_length()))
+    slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+    return np.bincount(slot, minlength=1 << bits)[slot] >= least
+
+
 class QGramIndex:
     """Pieces of the items and their q-grams (q = 8, so that a q-gram is one 64-bit word)."""
 
     def __init__(self, items: list[tuple[int, bytes]], piece: int = 120, error: float = 0.08, passage: int = 64):
         self.q, self.band, self.passage = 8, 16, passage
-        self.edits = min(int(error * passage), (passage + 1) // self.q - 1)
+        self.edits = min(int(error * passage), passage // self.q - 1)
         self.item, self.text, self.budget, self.need = [], [], [], []
         self.whole, self.name, self.part_of, self.start = [], [], [], []
         for item, raw in items:
@@ -49,7 +57,7 @@ class QGramIndex:
             self.name.append(item)
             for s in starts:
                 own = folded[s : s + piece]
-                edits = min(int(error * len(own)), (len(own) + 1) // self.q - 1)
+                edits = min(int(error * len(own)), len(own) // self.q - 1)  # some q-gram is left whole
                 if edits >= 0:
                     self.item.append(item)
                     self.part_of.append(len(self.whole) - 1)
@@ -131,6 +139,8 @@ class QGramIndex:
         low = diagonal % self.band < self.budget[piece]
         key = np.concatenate([piece * (1 << 40) + band, (piece * (1 << 40) + band - 1)[low]])
         owner = np.concatenate([doc, doc[low]])
+        ok = crowded(key, self.need[key >> 40])
+        key, owner = key[ok], owner[ok]
         keys, first, count = np.unique(key, return_index=True, return_counts=True)
         piece, owner = keys >> 40, owner[first]
         ok = count >= self.need[piece]
@@ -146,6 +156,8 @@ class QGramIndex:
         low = diagonal % self.band < self.edits
         band = np.concatenate([diagonal // self.band, (diagonal // self.band - 1)[low]])
         whole, at, doc = (np.concatenate([x, x[low]]) for x in (whole, at, doc))
+        ok = crowded(whole * (1 << 40) + band, self.enough)
+        whole, at, doc, band = whole[ok], at[ok], doc[ok], band[ok]
         bands, own, group = np.unique(whole * (1 << 40) + band, return_index=True, return_inverse=True)
         whole, doc, band = whole[own], doc[own], bands & ((1 << 40) - 1)
         span, grams = int(self.size.max()) + self.passage + 1, self.passage - self.q + 1
@@ -250,22 +262,36 @@ class QGramIndex:
         return [(d, item, len(ps), b, f, e) for (d, item), (ps, (e, b, f)) in found.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, piece: int = 120, error: float = 0.08, passage: int = 64, block_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def _indexes(benchmark: DataFrame, piece: int, error: float, passage: int, block_bytes: int, item_key: str, item_text: str) -> tuple[int, Iterator[QGramIndex]]:
+    """How many blocks the items make, and their indexes, one at a time."""
+    items = benchmark.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("t").cast("long")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def one(n: int) -> QGramIndex:
+        mine = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == n).distinct().orderBy("k", "t").collect()
+        return QGramIndex([(r.k, r.t.encode()) for r in mine], piece, error, passage)
+
+    return blocks, (one(n) for n in range(blocks))
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, piece: int = 120, error: float = 0.08, passage: int = 64, block_bytes: int = 4 << 20,
+    key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+) -> DataFrame:
     """One row for each document row and item of which a piece, or any ``passage`` bytes at whatever offset, lies in the
     document within the edit budget. ``n_regions`` counts the pieces, and is 1 where a passage fills none.
 
-    The items go to the tasks in blocks of about ``block_bytes`` (one pass over the documents for each block), so what is
-    sent never grows beyond that. Null texts match nothing; items under 8 bytes can't be told from chance and match
-    nothing; equal items are reported each; a null document id stays null.
-    """
+    The items go to the tasks in blocks of about ``block_bytes``; of several, each is sent, has its pass over the documents
+    written and is released before the next. Null texts match nothing; items under 8 bytes can't be told from chance and
+    match nothing; equal items are reported each; repeated rows are judged each; a null document id stays null.
+    """
     spark = docs.sparkSession
     ship(spark)
-    size = benchmark.agg(F.sum(F.octet_length(item_text)).alias("n")).first().n or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks, indexes = _indexes(benchmark, piece, error, passage, block_bytes, item_key, item_text)
     source, out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text_")), None
-    for k in range(blocks):
-        mine = benchmark.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull() & (F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == k))
-        index = QGramIndex([(r[0], r[1].encode()) for r in mine.select(F.col(item_key).cast("long"), item_text).distinct().orderBy(item_key, item_text).collect()], piece, error, passage)
+    names = [c.split()[0] for c in LEAKS.split(", ")]
+    for index in indexes:
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -276,15 +302,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, piece: int = 120, error: f
                     rows = index.leaks(raw, offsets) if len(raw) else []
                     ids = batch.column(0).to_pylist()
                     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in cols[0]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[c.split()[0] for c in LEAKS.split(", ")])
+                    own = [pa.array([ids[d] for d in cols[0]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:])]
+                    yield pa.RecordBatch.from_arrays(own, names=names)
 
         part = source.mapInArrow(run, LEAKS)
+        if blocks > 1:
+            part = materialize(part, "leaks")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, whole and with all their columns, in which no item leaks. Rows with a null id are kept."""
-    leaks = find_leaks(docs, benchmark, **options).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("leak_")).distinct()
-    key = options.get("key", "doc_id")
-    return docs.join(leaks, docs[key].cast("long") == leaks.leak_, "left_anti")
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, piece: int = 120, error: float = 0.08, passage: int = 64, block_bytes: int = 4 << 20,
+    text: str = "text", item_key: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows, whole and with all their columns, in whose text no item leaks; what leaks is as in find_leaks(). Each row is
+    judged by its own text, whatever its id; a null text stays. No shuffle: tasks pass on what they keep."""
+    spark = docs.sparkSession
+    ship(spark)
+    blocks, indexes = _indexes(benchmark, piece, error, passage, block_bytes, item_key, item_text)
+    at = docs.columns.index(text)
+    for index in indexes:
+        sent = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            for whole in batches:
+                for batch in split_batch(whole, at):
+                    offsets, raw = binary_buffers(batch.column(at))
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[[r[0] for r in index.leaks(raw, offsets)] if len(raw) else []] = False
+                    yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if blocks > 1:
+            docs = materialize(docs, "clean")
+            sent.destroy()
+    return docs

@@ -323,7 +323,11 @@ def test_decontamination(spark):
     t = dict((x[0], x[1]) for x in rows)[100]
     assert r.edits == 0 and t.encode()[r.start_byte : r.end_byte].decode() in items[0]
     kept = drop_leaks(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(20), 122, 123, None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(20), 122, 123}
+    assert {r.doc_id for r in drop_leaks(docs, bench, block_bytes=64).collect()} == {*range(20), 122, 123}
+    twice = table(spark, [rows[0], rows[0], (0, items[0], "en", "s"), (5, ("x" * 70 + " ") * 60_000 + items[1] + " y" * 60_000, "en", "s")] + rows[100:101] * 2)
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(twice, bench).collect()) == [(0, 0), (5, 1), (5, 9)]
+    assert [r.text for r in drop_leaks(twice, bench).collect()] == [clean[0]] * 2  # by the row's own text, not by its id
     assert find_leaks(table(spark, []), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -352,9 +356,74 @@ def test_decontamination_finds_parts_at_any_offset(spark):
             assert text[r.doc_id].encode()[r.start_byte : r.end_byte].decode().lower() in items[r.item_id].lower()
 
 
+def least_edits(own, text):
+    """Edits of each row of ``own`` against its best place in a text: the whole table of the alignment, no bands."""
+    cost = np.zeros((len(own), len(text) + 1), int)
+    at = np.arange(len(text) + 1)
+    for i in range(own.shape[1]):
+        new = np.concatenate([np.full((len(own), 1), i + 1), np.minimum(cost[:, :-1] + (text != own[:, i : i + 1]), cost[:, 1:] + 1)], axis=1)
+        cost = np.minimum.accumulate(new - at, axis=1) + at
+    return cost.min(axis=1)
+
+
+def test_decontamination_against_whole_alignment():
+    from affinigraph.llm.decontaminate import QGramIndex, fold
+
+    rng = random.Random(12)
+    items = [words(rng, n, 60).encode() for n in (14, 25, 40, 60)] + [b"seven w", b"eight wo"]
+    index = QGramIndex(list(enumerate(items)))
+    texts = []
+    for _ in range(70):
+        own = items[rng.randrange(4)]
+        a = rng.randrange(max(1, len(own) - 50))
+        part = bytearray(own[a : a + rng.randrange(40, 200)])
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(part))
+            part[k : k + 1] = rng.choice([b"", b"#", bytes([part[k]]) + b"#"])
+        texts.append(words(rng, 8, 60).encode() + part + words(rng, 8, 60).encode())
+    texts += [b"", b"eight wo", b"seven w"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = {(d, k) for d, k, *_ in index.leaks(np.frombuffer(b"".join(texts), np.uint8), offsets)}
+    want = set()
+    for d, t in enumerate(texts):
+        t = fold(np.frombuffer(t, np.uint8)) if t else np.zeros(0, np.uint8)
+        for k, raw in enumerate(items):
+            x = fold(np.frombuffer(raw, np.uint8))
+            starts = [0] if len(x) <= 120 else [*range(0, len(x) - 120, 60), len(x) - 120]
+            pieces = np.stack([x[s : s + 120] for s in starts])
+            budget = min(int(0.08 * pieces.shape[1]), pieces.shape[1] // 8 - 1)
+            windows = np.lib.stride_tricks.sliding_window_view(x, 64) if len(x) > 64 else np.zeros((0, 64), np.uint8)
+            if (least_edits(pieces, t) <= budget).any() or len(windows) and (least_edits(windows, t) <= 5).any():
+                want.add((d, k))
+    assert got == want and 20 < len(want) < 70 + 2
+
+
 # 10
 
 
+def test_language_against_plain_forward_pass():
+    from affinigraph.llm.language import ByteConvNet
+
+    net = ByteConvNet(["a", "b", "c"], window=32)
+    net.bias += np.linspace(-0.5, 0.5, len(net.bias)).astype(np.float32)
+    texts = ["short", "é" * 40, "the quick brown fox jumps over the lazy dog " * 3]
+    raw = [t.encode() for t in texts]
+    got = net.predict_texts(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    for own, p in zip(raw, got, strict=True):
+        total = [0.0] * 3
+        for at in range(0, len(own), 32):
+            part = own[at : at + 32]
+            padded, pooled = part.ljust(32, b"\0"), []
+            for f in range(len(net.bias)):
+                width = net.widths[f // net.filters]
+                best = max(sum(float(net.emb[padded[i + k]][j]) * float(net.kernel[k * net.dim + j, f]) for k in range(width) for j in range(net.dim)) for i in range(32 - max(net.widths) + 1))
+                pooled.append(max(0.0, best + float(net.bias[f])))
+            z = [sum(x * float(w) for x, w in zip(pooled, net.out[:, c], strict=True)) + float(net.out_bias[c]) for c in range(3)]
+            e = [np.exp(x - max(z)) for x in z]
+            total = [t + len(part) * x / sum(e) for t, x in zip(total, e, strict=True)]
+        np.testing.assert_allclose(p, [t / len(own) for t in total], atol=1e-4)
+
+
 def test_language(spark):
     from affinigraph.llm.language import held_out, identify, train
     from pyspark.sql import functions as F
@@ -374,3 +443,5 @@ def test_language(spark):
     assert out[1] == out[2] == out[3] == ("und", 0.0) and out[None][0] == "aa" and 0 <= out[None][1] <= 1
     assert train(table(spark, [])) is None and identify(odd, None, keep=("doc_id",)).where("lang_pred <> 'und'").count() == 0
     assert identify(table(spark, []), model, keep=("doc_id",)).count() == 0
+    again = [tuple(r) for r in identify(table(spark, rows[:1] * 3), model, keep=("doc_id",)).collect()]
+    assert len(again) == 3 and len(set(again)) == 1
