@@ -291,6 +291,55 @@ def test_privacy_discloses_entities_seen_once(spark):
     assert all(got[10 + i].clean_text == got[10 + i].text for i in range(60))
 
 
+def told(rows, disclosure=0.8, support=3):
+    """{text: [(kind, start, end)]} with emails as the only entities, from counts over the distinct lines."""
+    email, word = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[^\s!-/:-@\[-`{-~]+", re.ASCII)
+    lines = {x for t in rows if t is not None for x in t.split("\n")}
+    of = {x: ({m.lower() for m in email.findall(x)}, {w.lower() for w in word.findall(x)}) for x in lines}
+    entities = {e for es, _ in of.values() for e in es}
+    n_term = {}
+    for _, ws in of.values():
+        for w in ws:
+            n_term[w] = n_term.get(w, 0) + 1
+    telling = set()
+    for e in entities:
+        own = [ws for es, ws in of.values() if e in es]
+        for w in set().union(*own):
+            both = sum(w in ws for ws in own)
+            both -= 0.5 * (both < support)
+            n = max(len(lines), n_term[w], len(own))
+            if w not in e and re.search(r"[^\W\d_]", w) and np.log(both * n / (len(own) * n_term[w])) >= disclosure * np.log(n / len(own)):
+                telling.add((e, w))
+    out = {}
+    for t in rows:
+        base = [("email", *m.span()) for m in email.finditer(t or "")]
+        mine = {m.group().lower() for m in email.finditer(t or "")}
+        extra = [("term", *m.span()) for m in word.finditer(t or "") if any((e, m.group().lower()) in telling for e in mine)]
+        out[t] = base + [x for x in extra if not any(b < x[2] and x[1] < c for _, b, c in base)]
+    return out, telling
+
+
+def test_privacy_terms_against_plain_counts(spark):
+    from affinigraph.llm.privacy import sanitise
+
+    rng = random.Random(21)
+    people = [f"p{k}@mail{k % 3}.org" for k in range(9)]
+    rows = []
+    for i in range(120):
+        text = [words(rng, rng.randrange(1, 9), 12) for _ in range(rng.randrange(1, 5))]
+        if rng.random() < 0.6:
+            k = rng.randrange(9)
+            text[0] += f" Émile{k} called {people[k].upper() if rng.random() < 0.3 else people[k]}, {rng.choice(['clerk', 'baker'])} nick{rng.randrange(4)}"
+        rows.append("\n".join(text))
+    rows += [rows[0]] * 3 + [None, "", "Émile1 alone", ("filler " * 9 + "\n") * 3000 + rows[1]]
+    want, telling = told(rows)
+    got = sanitise(table(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()
+    assert len(got) == len(rows) and len(telling) >= 9
+    for r in got:
+        assert [(s.kind, s.start, s.end) for s in r.spans] == want[r.text], r.doc_id
+    assert any(k == "term" for spans in want.values() for k, *_ in spans)
+
+
 # 9
 
 
