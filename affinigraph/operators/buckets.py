@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import bin_of, java_doubles, signature
-from ..sources.points import width_of
+from ..sources.points import dense_index, width_of
 from ..sources.store import settle
 
 BINS = 20
@@ -48,7 +48,7 @@ def draw_features(spans: DataFrame, bits: int, seed: int = 3) -> DataFrame:
 
 def histogram(points: DataFrame, features: DataFrame, spans: DataFrame) -> DataFrame:
     """(bit, bin, n) over all bins, empty ones too. Values are binned once for each distinct feature."""
-    used = features.select("pos").distinct().join(spans, "pos").select("pos", "low", "step").persist()
+    used = features.select("pos").distinct().join(spans, "pos").select("pos", "low", "step")
     wanted = sorted(r.pos for r in used.select("pos").collect())
     values = points.select(F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), F.col("v")[p].alias("x")) for p in wanted))).alias("c")).select("c.*")
     binned = values.join(F.broadcast(used), "pos").select("pos", bin_of(F.col("x"), F.col("low"), F.col("step")).alias("bin"))  # a row for each feature
@@ -93,9 +93,36 @@ def lead_signatures(sigs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def buckets(signed: DataFrame) -> DataFrame:
-    """Adds ``bucket`` to points with ``sig``. Only distinct signatures, at most 2**bits, reach the driver."""
-    pairs = [(r.sig, r.first_id) for r in distinct_signatures(signed).collect()]
+def lead_in_rounds(distinct: DataFrame, rounds: int = 200) -> DataFrame:
+    """(sig, bucket) as lead_signatures() has it, without gathering the signatures: in each round those of which all earlier
+    neighbours within one bit are settled are settled too. A signature with an earlier leader next to it joins one; one
+    without any leads. Rounds follow the longest chain of ever later neighbours, which is short in a mixed order."""
+    order = distinct.select("sig", "first_id")
+    pairs = hamming_pairs(distinct).select(F.explode(F.array(F.struct("s1", "s2"), F.struct(F.col("s2").alias("s1"), F.col("s1").alias("s2")))).alias("x")).select("x.*")
+    first = lambda c: order.select(F.col("sig").alias(c), F.col("first_id").alias(f"{c}_at"))
+    pairs = settle(pairs.join(first("s1"), "s1").join(first("s2"), "s2").where("s2_at < s1_at").select(F.col("s1").alias("sig"), F.col("s2").alias("near")))
+    state = order.withColumn("leads", F.lit(None).cast("boolean"))
+    for _ in range(rounds):
+        seen = pairs.join(state.select(F.col("sig").alias("near"), F.col("leads").alias("l")), "near")
+        seen = seen.groupBy("sig").agg(F.max(F.coalesce("l", F.lit(False))).alias("any"), F.max(F.col("l").isNull()).alias("open"))
+        told = F.when(F.coalesce("any", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = settle(state.join(seen, "sig", "left").select("sig", "first_id", F.coalesce("leads", told).alias("leads")))
+        if state.where(F.col("leads").isNull()).limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError("the buckets are not settled")
+    leaders = dense_index(state.where("leads").select("sig", "first_id"), "first_id").select("sig", F.col("idx").cast("int").alias("bucket"))
+    next_to = pairs.join(leaders.withColumnRenamed("sig", "near"), "near").groupBy("sig").agg(F.min("bucket").alias("bucket"))
+    return leaders.unionByName(state.where("NOT leads").select("sig").join(next_to, "sig"))
+
+
+def buckets(signed: DataFrame, most: int = 100_000) -> DataFrame:
+    """Adds ``bucket`` to points with ``sig``. Up to ``most`` distinct signatures are grouped on the driver, more in rounds of
+    joins; both give the same buckets."""
+    distinct = settle(distinct_signatures(signed))
+    if distinct.count() > most:
+        return signed.join(lead_in_rounds(distinct), "sig")
+    pairs = [(r.sig, r.first_id) for r in distinct.collect()]
     table = signed.sparkSession.createDataFrame(lead_signatures(pairs), "sig long, bucket int")
     return signed.join(table, "sig")
 

@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import matrix, nearest
 from ..functions.vectors import squared_distance
 from ..sources.points import width_of
+from ..sources.store import ship
 
-#: A point table of at most so many bytes is sent to every task whole; a larger one is compared block by block.
-SENT_BYTES = 32 << 20
+#: Points of a block: two of them, and their distances in parts, fit a task with ease.
+BLOCK = 16_384
+#: Buckets of at most so many points are joined with themselves.
+SMALL = 128
 
 
 def pair_distances(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
@@ -23,13 +27,15 @@ def pair_distances(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).select("i", "j", squared_distance("x", "y", width).alias("d"))
 
 
-def all_pairs(points: DataFrame, sent_bytes: int = SENT_BYTES, block: int = 4096) -> DataFrame:
-    """(i, j, d) of every two points, each with itself too; a table of more than ``sent_bytes`` is joined block by block."""
+def blocks_for(n: int, block: int) -> int:
+    """Blocks of at most ``block`` points; some more of a small set, so that several tasks share the pairs."""
+    return max(1, -(-n // block), min(6, n // 256))
+
+
+def all_pairs(points: DataFrame, block: int = 4096) -> DataFrame:
+    """(i, j, d) of every two points, each with itself too, joined block by block."""
     width = width_of(points)
-    n = points.count()
-    if n * width * 8 <= sent_bytes:
-        return pair_distances(points, points, width)
-    parts = max(1, -(-n // block))
+    parts = blocks_for(points.count(), block)
     p = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     asks = p.select(F.col("own").alias("a"), other.alias("b"), F.col("id").alias("i"), F.col("v").alias("x"))
@@ -43,43 +49,40 @@ def first_per_row(pairs: DataFrame, t: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= t).select("i", "j", "d", "rank")
 
 
-def neighbours(points: DataFrame, t: int, sent_bytes: int = SENT_BYTES, block: int = 4096) -> DataFrame:
+def neighbours(points: DataFrame, t: int, block: int = BLOCK) -> DataFrame:
     """(i, j, d, rank): the t nearest points of each, itself included."""
     if t < 1:
         raise ValueError(f"t must be 1 or more, not {t}")
-    width = width_of(points)
-    n = points.count()
-    if n * width * 8 <= sent_bytes:
-        return first_per_row(pair_distances(points, points, width), t)
-    return first_per_row(_in_blocks(points, t, max(1, -(-n // block)), F.lit(0)), t)
+    width_of(points)
+    return first_per_row(_in_blocks(points, t, F.lit(blocks_for(points.count(), block)), F.lit(0)), t)
 
 
 def _in_blocks(points: DataFrame, t: int, blocks, bucket) -> DataFrame:
-    """Candidates (i, j, d): each pair of blocks of a bucket is compared by one task, which keeps t for each row."""
-    parts = blocks if not isinstance(blocks, int) else F.lit(blocks)
-    p = points.select("id", "v", bucket.alias("bucket"), parts.cast("int").alias("parts"))
+    """Candidates (i, j, d): each pair of blocks of a bucket is compared once, by one task, which keeps t for each row of
+    either. ``blocks``: how many a bucket has."""
+    ship(points.sparkSession)
+    p = points.select("id", "v", bucket.alias("bucket"), blocks.cast("int").alias("parts"))
     p = p.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asks = p.select("bucket", F.col("own").alias("a"), other.alias("b"), "id", "v", F.lit(True).alias("asks"))
-    told = p.select("bucket", other.alias("a"), F.col("own").alias("b"), "id", "v", F.lit(False).alias("asks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    sent = p.select("bucket", "id", "v", "own", other)
+    sent = sent.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "v", (F.col("own") <= F.col("other")).alias("first"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-        v = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
-        x, y, to = v[asks], v[~asks], ids[~asks]
+        ids, first = table.column("id").to_numpy(), table.column("first").to_numpy(zero_copy_only=False)
+        v = matrix(table.column("v"), len(ids))
+        alone = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        sides = [(v, ids)] if alone else [(v[first], ids[first]), (v[~first], ids[~first])]
         i, j, d = [], [], []
-        for own, row in zip(ids[asks], x, strict=True):
-            diff = y - row
-            dist = np.einsum("ij,ij->i", diff, diff)
-            near = np.nonzero(dist <= np.partition(dist, t - 1)[t - 1])[0] if len(dist) > t else np.arange(len(dist))
-            near = near[np.lexsort((to[near], dist[near]))[:t]]
-            i.append(np.full(len(near), own))
-            j.append(to[near])
-            d.append(dist[near])
+        for (x, own), (y, to) in [(sides[0], sides[-1]), (sides[-1], sides[0])][: len(sides)]:
+            if len(x) and len(y):
+                row, at, dist = nearest(x, y, to, t)
+                i.append(own[row])
+                j.append(to[at])
+                d.append(dist)
         flat = lambda c, k: pa.array(np.concatenate(c) if c else [], k)
         return pa.table([flat(i, pa.int64()), flat(j, pa.int64()), flat(d, pa.float64())], names=["i", "j", "d"])
 
-    return asks.unionByName(told).groupBy("bucket", "a", "b").applyInArrow(compare, "i long, j long, d double")
+    return sent.groupBy("bucket", "a", "b").applyInArrow(compare, "i long, j long, d double")
 
 
 def neighbour_count(n: int, share: float) -> int:
@@ -87,19 +90,20 @@ def neighbour_count(n: int, share: float) -> int:
     return math.ceil(n * share)
 
 
-def bucket_neighbours(points: DataFrame, t: int, block: int = 4096) -> DataFrame:
+def bucket_neighbours(points: DataFrame, t: int, small: int = SMALL, block: int = 1024) -> DataFrame:
     """(i, j, d, rank): the t nearest points of the same bucket, itself included. ``points``: id, v, bucket.
 
-    Buckets of at most ``block`` points are joined with themselves; larger ones are compared block by block.
+    Buckets of at most ``small`` points are joined with themselves; larger ones are compared block by block, so that one
+    bucket that holds most points is work for many tasks.
     """
     if t < 1:
         raise ValueError(f"t must be 1 or more, not {t}: the share is too small for so few points")
     width = width_of(points)
-    size = points.groupBy("bucket").agg(F.count("*").alias("size_"))
-    sized = points.join(size, "bucket")
-    small = sized.where(F.col("size_") <= block)
-    a = small.select("bucket", F.col("id").alias("i"), F.col("v").alias("x"))
-    b = small.select("bucket", F.col("id").alias("j"), F.col("v").alias("y"))
+    sized = points.join(points.groupBy("bucket").agg(F.count("*").alias("size_")), "bucket")
+    few = sized.where(F.col("size_") <= small)
+    a = few.select("bucket", F.col("id").alias("i"), F.col("v").alias("x"))
+    b = few.select("bucket", F.col("id").alias("j"), F.col("v").alias("y"))
     near = a.join(b, "bucket").select("i", "j", squared_distance("x", "y", width).alias("d"))
-    large = _in_blocks(sized.where(F.col("size_") > block), t, F.ceil(F.col("size_") / block), F.col("bucket"))
+    parts = F.greatest(F.ceil(F.col("size_") / block), F.least(F.lit(6), F.floor(F.col("size_") / 256)), F.lit(1))
+    large = _in_blocks(sized.where(F.col("size_") > small), t, parts, F.col("bucket"))
     return first_per_row(near.unionByName(large), t)

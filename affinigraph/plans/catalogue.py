@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import buckets, clustering, eigen, graph, landmarks, metrics, neighbours
+from ..operators import buckets, clustering, graph, landmarks, metrics, neighbours
 from ..sources import datagen, points
 
 WIDTH = 64
@@ -65,6 +65,14 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: r6(F.col(c)) for c in cols})
 
 
+#: A digest of all values of a vector: each weighted by its place.
+DIGEST = "round(list_sum(list_transform({v}, lambda x, i: x * i)), 4)"
+
+
+def digest(v):
+    return F.round(F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4)
+
+
 P = "WITH RECURSIVE p AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 DIST = "pow(list_distance(a.v, b.v), 2)"
 KNN = f"""{P}, k AS (SELECT i, j, d, rank FROM (SELECT a.id AS i, b.id AS j, {DIST} AS d, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS INTEGER) AS rank FROM p a, p b) WHERE rank <= {T})"""
@@ -75,9 +83,9 @@ DEGREE = f"""{AFFINITY}, g AS (SELECT i, sqrt(sum(s)) AS root FROM s GROUP BY i)
 # Sources and projections
 
 
-@query(f"{P} SELECT id, round(v[1], 6) AS first_value, round(v[{WIDTH}], 6) AS last_value, CAST(len(v) AS INTEGER) AS width FROM p")
+@query(f"{P} SELECT id, {DIGEST.format(v='v')} AS digest, CAST(len(v) AS INTEGER) AS width FROM p")
 def vec_scan(spark, d):
-    return embeddings(spark, d).select("id", r6(F.col("v")[0]).alias("first_value"), r6(F.col("v")[WIDTH - 1]).alias("last_value"), F.size("v").alias("width"))
+    return embeddings(spark, d).select("id", digest(F.col("v")).alias("digest"), F.size("v").alias("width"))
 
 
 @query(f"{P} SELECT id, round(list_sum(v), 6) AS total, CAST(len(v) AS INTEGER) AS width FROM p")
@@ -86,9 +94,11 @@ def csv_roundtrip(spark, d):
     return lines.select("id", fv.parse_line(F.col("value")).alias("v")).select("id", r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size("v").alias("width"))
 
 
-@query(f"{P} SELECT min(id) AS id, round(v[1], 6) AS first_value FROM p GROUP BY v")
+@query(f"{P} SELECT min(id) AS id, {DIGEST.format(v='v')} AS digest FROM p GROUP BY v")
 def distinct_vectors(spark, d):
-    return points.distinct_vectors(embeddings(spark, d)).select("id", r6(F.col("v")[0]).alias("first_value"))
+    p = embeddings(spark, d)
+    again = p.select((F.col("id") + 1000000000).alias("id"), "v")
+    return points.distinct_vectors(p.unionByName(again)).select("id", digest(F.col("v")).alias("digest"))
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS idx FROM lineitem")
@@ -109,8 +119,7 @@ def clamp_unit(spark, d):
 
 @query(f"{P}, h(pos, nth) AS (VALUES (3, 0), (0, 1), (3, 2)) SELECT id, nth, round(v[pos + 1], 6) AS x FROM p, h")
 def column_view(spark, d):
-    view = F.transform(F.array(*(F.lit(x) for x in (3, 0, 3))), lambda k: F.element_at("v", k + 1))
-    return embeddings(spark, d).select("id", F.posexplode(view).alias("nth", "x")).select("id", "nth", r6(F.col("x")).alias("x"))
+    return embeddings(spark, d).select("id", F.posexplode(points.column_view(F.col("v"), [3, 0, 3])).alias("nth", "x")).select("id", "nth", r6(F.col("x")).alias("x"))
 
 
 @query(f"{P}, x AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM p) SELECT CAST(pos - 1 AS INTEGER) AS pos, round(min(x), 6) AS low, round(max(x), 6) AS high FROM x GROUP BY pos")
@@ -126,16 +135,10 @@ def row_counts(spark, d):
 # Pairs, neighbours, graph
 
 
-@query(f"{P} SELECT a.id AS i, b.id AS j, round({DIST}, 6) AS d FROM p a, p b WHERE a.id < 20")
-def pair_sqdist(spark, d):
-    p = embeddings(spark, d)
-    return rounded(neighbours.pair_distances(p, p.where("id < 20"), WIDTH).select(F.col("j").alias("i"), F.col("i").alias("j"), "d"), "d")
-
-
 @query(f"{P} SELECT a.id AS i, count(*) AS n, round(sum({DIST}), 4) AS total, round(min({DIST}), 6) AS low, round(max({DIST}), 6) AS high FROM p a, p b GROUP BY a.id")
-def pair_sqdist_all(spark, d):
+def pair_sqdist(spark, d):
     """Every point with every point; the distances of each are digested, as there are n squared."""
-    pairs = neighbours.all_pairs(embeddings(spark, d))
+    pairs = neighbours.all_pairs(embeddings(spark, d), block=512)
     return pairs.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("d"), 4).alias("total"), r6(F.min("d")).alias("low"), r6(F.max("d")).alias("high"))
 
 
@@ -146,8 +149,8 @@ def knn_t(spark, d):
 
 @query(f"{KNN} SELECT i, j, rank, round(d, 6) AS d FROM k")
 def knn_t_blocks(spark, d):
-    """The form for point sets too large to send whole."""
-    return rounded(neighbours.neighbours(embeddings(spark, d), T, sent_bytes=0, block=1024), "d")
+    """The same from many small blocks."""
+    return rounded(neighbours.neighbours(embeddings(spark, d), T, block=100), "d")
 
 
 @query(f"{EDGES} SELECT i, j, round(d, 6) AS d FROM e")
@@ -176,11 +179,11 @@ def graph_matrix(spark, d):
 
 
 @query(f"""{P}, z AS (SELECT id, CASE WHEN id % 7 = 0 THEN list_transform(v, lambda x: 0.0) ELSE v END AS v FROM p), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM z)
-SELECT id, round(CASE WHEN n = 0 THEN 1.0 ELSE v[1] / n END, 6) AS first_value, round(CASE WHEN n = 0 THEN 1.0 ELSE v[{WIDTH}] / n END, 6) AS last_value FROM n""")
+SELECT id, {DIGEST.format(v='list_transform(v, lambda x: CASE WHEN n = 0 THEN 1.0 ELSE x / n END)')} AS digest FROM n""")
 def row_normalize(spark, d):
     z = embeddings(spark, d).withColumn("v", F.when(F.col("id") % 7 == 0, F.array_repeat(F.lit(0.0), WIDTH)).otherwise(F.col("v")))
     e = z.select("id", fv.unit_row(F.col("v"), WIDTH).alias("e"))
-    return e.select("id", r6(F.col("e")[0]).alias("first_value"), r6(F.col("e")[WIDTH - 1]).alias("last_value"))
+    return e.select("id", digest(F.col("e")).alias("digest"))
 
 
 # Centres and quality
@@ -192,7 +195,7 @@ SPREAD = f"{CENTRES}, t AS (SELECT label AS cluster, count(*) AS n, sum(pow(list
 @query(f"{CENTRES} SELECT id, min_by(cluster, pow(list_distance(v, c), 2)) AS cluster, round(min(pow(list_distance(v, c), 2)), 6) AS d FROM p, c GROUP BY id")
 def nearest_center(spark, d):
     rows = labelled(spark, d)
-    near = metrics.nearest_centre(rows.select("id", "v"), metrics.centroids(rows, WIDTH), WIDTH)
+    near = metrics.nearest_centre(rows.select("id", "v"), metrics.centroids(rows, WIDTH))
     return rounded(near.select("id", "cluster", "d"), "d")
 
 
@@ -384,87 +387,43 @@ def landmark_split(spark, d):
 @query(f"{LANDMARK} SELECT i, j, round(s, 6) AS s FROM ({LM_A})")
 def landmark_a(spark, d):
     marks, _ = landmark_parts(spark, d)
-    return rounded(landmarks.affinity_to_landmarks(marks, marks, LM_SIGMA), "s")
+    return rounded(landmarks.Landmarks.of(marks, LM_SIGMA).affinities(marks), "s")
 
 
 @query(f"{LANDMARK} SELECT i, j, round(s, 6) AS s FROM ({LM_B})")
 def landmark_b(spark, d):
     marks, rest = landmark_parts(spark, d)
-    return rounded(landmarks.affinity_to_landmarks(rest, marks, LM_SIGMA), "s")
+    return rounded(landmarks.Landmarks.of(marks, LM_SIGMA).affinities(rest), "s")
+
+
+@query(f"{LANDMARK}, b AS ({LM_B.replace(DIST, f'pow({DIST}, 2)')}) SELECT i, j, round(s, 6) AS s FROM b")
+def landmark_b_squared(spark, d):
+    """The kernel of the squared distance, squared again."""
+    marks, rest = landmark_parts(spark, d)
+    return rounded(landmarks.Landmarks.of(marks, LM_SIGMA, power=2).affinities(rest), "s")
 
 
 @query(f"""{LANDMARK}, a AS ({LM_A}), b AS ({LM_B}) SELECT 'a' AS kind, i AS id, round(sum(s), 6) AS total FROM a GROUP BY i
 UNION ALL SELECT 'b1', j, round(sum(s), 6) FROM b GROUP BY j UNION ALL SELECT 'b2', i, round(sum(s), 6) FROM b GROUP BY i""")
 def landmark_sums(spark, d):
     marks, rest = landmark_parts(spark, d)
-    a, b = (landmarks.affinity_to_landmarks(x, marks, LM_SIGMA) for x in (marks, rest))
-    parts = (("a", "i", landmarks.row_sums(a)), ("b1", "j", landmarks.column_sums(b)), ("b2", "i", landmarks.row_sums(b)))
-    out = [df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), r6(F.col("total")).alias("total")) for kind, c, df in parts]
+    own = landmarks.Landmarks.of(marks, LM_SIGMA)
+    columns = own.column_sums(rest).select(F.posexplode("row").alias("n", "total")).select(F.element_at(F.lit(own.ids.tolist()), F.col("n") + 1).alias("id"), "total")
+    parts = (("a", own.row_sums(marks)), ("b1", columns), ("b2", own.row_sums(rest)))
+    out = [df.select(F.lit(kind).alias("kind"), "id", r6(F.col("total")).alias("total")) for kind, df in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query(f"{LANDMARK}, b AS ({LM_B}) SELECT x.j AS m, y.j AS n, round(sum(x.s * y.s), 6) AS p FROM b x JOIN b y ON x.i = y.i GROUP BY x.j, y.j")
 def landmark_outer(spark, d):
     marks, rest = landmark_parts(spark, d)
-    return rounded(landmarks.outer_products(landmarks.affinity_to_landmarks(rest, marks, LM_SIGMA)), "p")
-
-
-# Embeddings, models
-
-
-@query()
-def landmark_embed(spark, d):
-    return landmarks.landmark_embedding(embeddings(spark, d), EMBED_K, F.col("id") % 50 == 0, LM_SIGMA)
-
-
-@query()
-def knn_embed(spark, d):
-    return clustering.KnnGraphClustering(k=EMBED_K, sparsity=0.02).embed(embeddings(spark, d)).select("id", "e")
-
-
-@query()
-def lsh_embed(spark, d):
-    return clustering.LshGraphClustering(k=EMBED_K, sigma=SIGMA, share=0.02).embed(embeddings(spark, d)).select("id", "e")
-
-
-@query()
-def knn_cluster(spark, d):
-    return clustering.KnnGraphClustering(k=EMBED_K, sparsity=0.02).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
-
-
-@query()
-def knn_cluster_sizes(spark, d):
-    """Flagship: distinct points to cluster sizes, through the nearest-neighbour graph."""
-    p = points.distinct_vectors(embeddings(spark, d))
-    return metrics.cluster_sizes(clustering.KnnGraphClustering(k=EMBED_K, sparsity=0.02).fit(p).predict_all())
-
-
-@query()
-def lsh_cluster(spark, d):
-    return clustering.LshGraphClustering(k=EMBED_K, sigma=SIGMA, share=0.02).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
-
-
-@query()
-def landmark_cluster(spark, d):
-    return clustering.LandmarkGraphClustering(k=EMBED_K, share=0.2, sigma=LM_SIGMA).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
-
-
-@query()
-def kmeans_cluster(spark, d):
-    return clustering.PlainKMeans(k=10).fit(embeddings(spark, d)).predict_all().select("id", "cluster")
-
-
-@query(f"{P} SELECT id, label AS cluster FROM p WHERE id IN (3, 44, 101)")
-def predict_lookup(spark, d):
-    """Assignments looked up by the vectors themselves."""
-    rows = labelled(spark, d)
-    model = clustering.ClusterModel([], rows, rows)
-    asked = rows.where(F.col("id").isin(3, 44, 101)).select("id", "v")
-    return asked.join(model.predict(asked), "v").select("id", "cluster")
+    own = landmarks.Landmarks.of(marks, LM_SIGMA)
+    name = lambda c: F.element_at(F.lit(own.ids.tolist()), F.col(c).cast("int") + 1)
+    return own.outer_products(rest).select("m", F.posexplode("row").alias("n", "p")).select(name("m").alias("m"), name("n").alias("n"), r6(F.col("p")).alias("p"))
 
 
 @query(f"{P}, k AS (SELECT v, arg_min(label, id) AS cluster FROM p GROUP BY v) SELECT p.id, k.cluster FROM p JOIN k ON k.v = p.v UNION ALL SELECT -1 - p.id, k.cluster FROM p JOIN k ON k.v = p.v")
-def predict_lookup_all(spark, d):
+def predict_lookup(spark, d):
     """Every vector looked up, in a table that has each twice: the repeat, of a larger id and another cluster, loses. Rows asked twice have ids below 0."""
     rows = labelled(spark, d)
     again = rows.select((F.col("id") + 1000000000).alias("id"), "v", (F.col("cluster") + 1).alias("cluster"))
@@ -501,11 +460,7 @@ def centroid_distance(spark, d):
     return rounded(rows.join(metrics.centroids(rows, WIDTH), "cluster").select("id", "cluster", fv.squared_distance("v", "c", WIDTH).alias("d")), "d")
 
 
-def spectral_gram(spark, d) -> DataFrame:
-    """Products of embedding rows, free of sign and rotation; for tests."""
-    e = eigen.spectral_rows(graph.graph_matrix(graph.self_tuned_affinity(near(spark, d))), EMBED_K)
-    a, b = e.select(F.col("id").alias("i"), F.col("e").alias("x")), e.select(F.col("id").alias("j"), F.col("e").alias("y"))
-    return a.crossJoin(b).select("i", "j", F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p).alias("g"))
+from . import strategies  # noqa: E402, F401  (registers its queries here)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import parse_line
+from .store import settle
 
 
 def read_csv_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -36,6 +37,11 @@ def points_of(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
+def column_view(v, positions: list[int]):
+    """The values at ``positions`` of a vector column, repeats included."""
+    return F.transform(F.array(*(F.lit(x) for x in positions)), lambda k: F.element_at(v, k + 1))
+
+
 def distinct_vectors(points: DataFrame) -> DataFrame:
     """One row for each distinct vector, under its smallest id."""
     return points.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
@@ -44,18 +50,18 @@ def distinct_vectors(points: DataFrame) -> DataFrame:
 def dense_index(points: DataFrame, order: str = "id") -> DataFrame:
     """Ids from 0 without gaps, in the order of a column.
 
-    Rows are sorted by ranges and numbered inside each; the ranges' sizes, one number each, give the offsets, so no task
-    sees more than its range.
+    Rows are dealt by ranges and written with their range, as another run may sample other ranges; what is written is
+    counted and numbered inside each range. The ranges' sizes, one number each, give the offsets, so no task sees more than
+    its range.
     """
-    s = points.repartitionByRange(order).withColumn("part_", F.spark_partition_id())
-    local = s.withColumn("n_", F.row_number().over(Window.partitionBy("part_").orderBy(order)) - 1)
-    sizes = s.groupBy("part_").count().orderBy("part_").collect()
+    dealt = settle(points.repartitionByRange(order).withColumn("part_", F.spark_partition_id()))
     base, total = [], 0
-    for r in sizes:
+    for r in dealt.groupBy("part_").count().orderBy("part_").collect():
         base.append((r.part_, total))
         total += r["count"]
+    local = dealt.withColumn("n_", F.row_number().over(Window.partitionBy("part_").orderBy(order)) - 1)
     offsets = points.sparkSession.createDataFrame(base, "part_ int, base_ long")
-    return local.join(F.broadcast(offsets), "part_").withColumn("idx", F.col("base_") + F.col("n_")).drop("part_", "n_", "base_")
+    return local.join(F.broadcast(offsets), "part_").withColumn("idx", F.col("base_") + F.col("n_")).drop("part_", "n_", "base_")  # a row for each range
 
 
 def width_of(points: DataFrame) -> int:

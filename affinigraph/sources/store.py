@@ -3,19 +3,58 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_PACKAGE = Path(__file__).resolve().parent.parent
+_temporary: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application.
+
+    Python workers import the functions they run, and a cluster's executors have no copy of the repository.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="affinigraph-")  # on the driver; Spark serves the file from there
+    archive = os.path.join(folder, "affinigraph_src.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(_PACKAGE.rglob("*.py")):
+            z.write(p, p.relative_to(_PACKAGE.parent))
+    sc.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: what spark.checkpoint.dir or SparkContext.setCheckpointDir names.
+
+    A local session without either gets a temporary one; on a cluster executors would each write to their own disk, so
+    there it is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _temporary:
+        _temporary.append(tempfile.mkdtemp(prefix="affinigraph-"))
+        atexit.register(shutil.rmtree, _temporary[0], ignore_errors=True)
+    return "file://" + _temporary[0]
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, checkpointed in spark.checkpoint.dir; a temporary folder serves where none is set (local runs)."""
+    """The rows of ``df``, checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="affinigraph-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

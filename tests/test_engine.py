@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from affinigraph.functions import vectors as fv
 from affinigraph.operators import buckets, clustering, eigen, graph, landmarks, metrics, neighbours
 from affinigraph.plans import catalogue, pipelines
+from affinigraph.plans.strategies import NINE
 from affinigraph.sources import datagen, points
 
-NINE = [
-    [-0.1, -2.0, -6.2, -1.2, -3.0, -5.9], [0.1, 2.2, 6.1, 1.2, 3.2, 6.1], [-0.05, -2.1, -6.4, -1.5, -2.5, -6.2], [0.1, 1.9, 6.4, 1.1, 2.9, 6.1],
-    [10.2, 20.0, 16.0, 11.0, 23.0, 9.0], [10.1, 24.0, 16.2, 11.5, 24.0, 9.3], [9.4, 23.5, 16.5, 11.2, 22.0, 9.2], [9.8, 21.1, 16.6, 12.0, 23.0, 9.7], [11.1, 24.6, 17.0, 11.5, 22.1, 9.0],
-]
+# A published fixture of numeric rows.
 SINGLE = [
     [1.0, 2.0, 6.0, 1.0, 2.0, 6.0], [1.0, 3.0, 0.0, 1.0, 3.0, 0.0], [1.0, 4.0, 6.0, 1.0, 4.0, 6.0], [1.3, 2.2, 6.4, 2.1, 2.3, 1.0], [1.2, 3.0, 0.0, 1.0, 3.0, 0.0],
     [1.1, 4.0, 6.2, 4.0, 4.0, 6.3], [1.4, 2.5, 6.5, 1.2, 2.0, 6.2], [1.5, 2.1, 0.6, 2.0, 3.0, 0.7], [1.1, 4.6, 7.0, 1.5, 2.1, 6.0],
@@ -59,17 +57,17 @@ def test_nearest_neighbour_goldens(nine):
 
 def test_blocks_agree_with_pairs(nine):
     a = {(r.i, r.j, r.rank) for r in neighbours.neighbours(nine, 4).collect()}
-    assert a == {(r.i, r.j, r.rank) for r in neighbours.neighbours(nine, 4, sent_bytes=0, block=2).collect()}
+    assert a == {(r.i, r.j, r.rank) for r in neighbours.neighbours(nine, 4, block=2).collect()}
     own = nine.withColumn("bucket", F.when(F.col("id") < 4, 5).otherwise(7))
     b = {(r.i, r.j, r.rank) for r in neighbours.bucket_neighbours(own, 3).collect()}
-    assert b == {(r.i, r.j, r.rank) for r in neighbours.bucket_neighbours(own, 3, block=2).collect()}
+    assert b == {(r.i, r.j, r.rank) for r in neighbours.bucket_neighbours(own, 3, small=0, block=2).collect()}
 
 
 def test_all_pairs(nine):
     x = np.array(NINE)
     want = ((x[:, None] - x[None]) ** 2).sum(2)
-    for sent in (neighbours.SENT_BYTES, 0):
-        got = {(r.i, r.j): r.d for r in neighbours.all_pairs(nine, sent_bytes=sent, block=2).collect()}
+    for block in (100, 2):
+        got = {(r.i, r.j): r.d for r in neighbours.all_pairs(nine, block=block).collect()}
         assert len(got) == 81 and all(math.isclose(v, want[k], abs_tol=1e-9) for k, v in got.items())
 
 
@@ -155,7 +153,7 @@ def test_eigen_tiers(spark):
     edges = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(40) for j in range(40)], "i long, j long, w double")
     _, want = eigen.leading(m, 3)
     for dense in (100, 10):
-        e = np.array([r.e for r in eigen.spectral_rows(edges, 3, dense=dense, rounds=200).orderBy("id").collect()])
+        e = np.array([r.e for r in eigen.spectral_rows(edges, 3, dense=dense).orderBy("id").collect()])
         np.testing.assert_allclose(e @ e.T, want @ want.T, atol=1e-3)
     low = spark.createDataFrame([(0, 0, 1.0), (1, 1, 0.0)], "i long, j long, w double")
     assert rows_of(eigen.spectral_rows(low, 3), "id", "e")[1] == ([0.0, 0.0, 0.0],)
@@ -164,10 +162,65 @@ def test_eigen_tiers(spark):
 
 def test_eigen_unconverged(spark):
     edges = spark.createDataFrame([(i, i, 1.0 + i / 100) for i in range(40)], "i long, j long, w double")
-    with pytest.raises(RuntimeError, match="still change"):
+    with pytest.raises(RuntimeError, match="still"):
         eigen.spectral_rows(edges, 3, dense=10, rounds=3)
 
 
+def test_eigen_of_close_values(spark):
+    """Values so close that a power iteration would not part them in time, found where the matrix is."""
+    edges = spark.createDataFrame([(i, i, 1.0 + i / 40_000) for i in range(400)], "i long, j long, w double")
+    e = np.array([r.e for r in eigen.distributed_rows(edges, 3, tolerance=1e-7).orderBy("id").collect()])
+    want = np.zeros((400, 3))
+    want[[399, 398, 397], [0, 1, 2]] = 1
+    assert np.abs(e @ e.T - want @ want.T).max() < 0.05
+
+
+def test_landmark_limit(spark):
+    """More landmarks than are solved: the least hashes serve, or a smaller share is drawn, and no point is lost."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.05, (60, 4)) for c in (0.0, 1.0, 2.0)])
+    p = points.from_rows(spark, x.tolist())
+    assert landmarks.landmark_embedding(p, 3, F.col("id") % 2 == 0, 0.5, most=20).count() == 180
+    with pytest.warns(UserWarning, match="landmarks"):
+        model = clustering.LandmarkGraphClustering(k=3, share=0.5, sigma=0.5, most=30).fit(p)
+    assert grouping(model.predict_all()) == [list(range(a, a + 60)) for a in (0, 60, 120)]
+
+
+def test_distances_keep_their_digits():
+    from affinigraph.functions.blocks import nearest, squared_distances
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 6)) + 1e6
+    x[1] = x[0] + 1e-4
+    want = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.testing.assert_allclose(squared_distances(x, x), want, rtol=1e-9, atol=1e-12)
+    y = np.concatenate([x, x[:5]])  # ties go to smaller ids
+    row, at, d = nearest(x, y, np.arange(len(y))[::-1], 2)
+    assert (np.bincount(row) == 2).all() and at[row == 0].tolist() == [50, 0] and d[0] == 0
+
+
+def test_buckets_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        sigs = [(int(s), i) for i, s in enumerate(rng.permutation(64)[:40])]
+        df = spark.createDataFrame([(s, i, 1) for s, i in sigs], "sig long, first_id long, n long")
+        assert {r.sig: r.bucket for r in buckets.lead_in_rounds(df).collect()} == dict(buckets.lead_signatures(sigs))
+
+
+def test_dense_index_of_many_rows(spark):
+    """More rows than the range sampler reads, so that a second run would cut other ranges."""
+    p = spark.range(2_000_000).select(F.xxhash64("id").alias("id"))
+    got = points.dense_index(p)
+    r = got.agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.min("idx").alias("a"), F.max("idx").alias("b")).first()
+    assert tuple(r) == (2_000_000, 2_000_000, 0, 1_999_999)
+    order = got.select("id", "idx").where("idx < 1000 OR idx > 1990000").orderBy("id").select("idx").collect()
+    assert [r.idx for r in order] == sorted(r.idx for r in order)
+
+
+def test_plain_kmeans_embeds_nothing(nine):
+    assert {tuple(r.v) == tuple(r.e) for r in clustering.PlainKMeans(k=2).embed(nine).collect()} == {True}
+
+
 def test_edge_cases(spark):
     same = points.from_rows(spark, [[1.0, 2.0]] * 6)
     near = neighbours.neighbours(same, 2)
