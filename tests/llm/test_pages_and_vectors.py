@@ -73,7 +73,7 @@ def test_nearest_neighbours(spark):
     vectors[7] = np.minimum(vectors[7], 9.0) if vectors[7].tolist() < [9.0] * 16 else np.full(16, 9.0)
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, raw string")
     got = {}
-    for r in nearest(t, F.col("vec_id") % 50 == 0, lists=16, rows_a_block=100).orderBy("query_id", "rank").collect():
+    for r in nearest(t, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = brute(vectors, 5)
     assert set(got) == set(want)
@@ -87,3 +87,33 @@ def test_nearest_neighbours(spark):
     assert [x[1] for x in got[0]] == [3, 6, 9, 12, 15]
     few = nearest(t.where("vec_id < 3"), F.col("vec_id") % 50 == 0).collect()
     assert len(few) == 2 and nearest(t.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["heaps", "clusters", "lines"])
+def test_nearest_neighbours_of_uneven_vectors(spark, kind):
+    """Heaps of equal vectors with queries far from all, tight clusters, and vectors along few directions: every query has its
+    five rows, and at least nine of ten are true."""
+    from pyspark.sql import functions as F
+
+    from affinigraph.llm.neighbours import nearest
+
+    rng = np.random.default_rng(9)
+    if kind == "heaps":
+        heaps = rng.normal(size=(8, 24))
+        x = heaps[rng.integers(0, 8, 3000)]
+        x[::50][: len(x) // 50 - 1] = rng.normal(size=(len(x) // 50 - 1, 24))
+    elif kind == "clusters":
+        x = rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 24))
+    else:
+        x = rng.normal(size=(3000, 3)) @ rng.normal(size=(3, 24)) + 0.01 * rng.normal(size=(3000, 24))
+    vectors = dict(enumerate(x))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(t, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(vectors, 5)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(want, 5)
+    hit = sum(len({a for a, _ in got[q]} & {x[0] for x in want[q]}) for q in want)
+    assert hit >= 0.9 * 5 * len(want), hit / 5 / len(want)
+    for q, found in got.items():
+        np.testing.assert_allclose([s for _, s in found], [vectors[q] @ vectors[i] / np.linalg.norm(vectors[q]) / np.linalg.norm(vectors[i]) for i, _ in found], atol=1e-12)
