@@ -2,57 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parent.parent
-_made: dict[str, list[str]] = {}
-
+from ..sources.store import shared_folder, ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application.
-
-    Python workers import the functions they run, and a cluster's executors have no copy of the repository.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _made:
-        return
-    _made[sc.applicationId] = []
-    folder = tempfile.mkdtemp(prefix="affinigraph-")
-    archive = os.path.join(folder, "affinigraph_src.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE.parent))
-    sc.addPyFile(archive)
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (local runs)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "local", None)
-        if base is None:
-            base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="affinigraph-shared-")
-            atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
-    return base.rstrip("/")
+_made: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the storage that all executors share; clean_up() deletes it."""
     ship(spark)
-    path = f"{shared_dir(spark)}/affinigraph/{name}-{uuid.uuid4().hex}"
-    _made[spark.sparkContext.applicationId].append(path)
+    path = f"{shared_folder(spark)}/affinigraph/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -64,6 +32,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A table written as by materialize(), deleted at the end: for what is read within only."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    yield df.sparkSession.read.schema(df.schema).parquet(path)
+    _made[df.sparkSession.sparkContext.applicationId].remove(path)
+    drop_path(df.sparkSession, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

@@ -38,15 +38,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
-    heads = assemble(read_records(spark, path)).select(
-        F.expr("try_cast(metadata.page_id AS BIGINT)").alias("page_id"), "capture_id", F.octet_length("response.payload").cast("long").alias("n"),
-        F.col("response.digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("of_"),
-    )
-    heads = materialize(heads, "captures")
-    own = heads.where(F.col("record_type") == "response").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    first = heads.where(F.col("record_type") == "response").select(F.col("capture_id").alias("of_"), F.col("page_id").alias("refers_to"), F.col("n").alias("payload_bytes"))
-    again = heads.where(F.col("record_type") == "revisit").drop("n").join(first, "of_", "left").select(*own.columns)
-    return own.unionByName(again)
+    page, size = F.expr("try_cast(metadata.page_id AS BIGINT)").alias("page_id"), F.octet_length("response.payload").cast("long").alias("n")
+    captures = assemble(read_records(spark, path)).select(page, "capture_id", size, "response.digest", "response.record_type", "response.refers_to")
+    captures = materialize(captures, "captures")
+    first = captures.where(F.col("record_type") == "response")
+    names = ["page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type"]
+    own = first.select(*names, F.lit(None).cast("long").alias("refers_to"))
+    told = first.select(F.col("capture_id").alias("of_"), F.col("page_id").alias("of_page"), "n")
+    again = captures.where(F.col("record_type") == "revisit").drop("n").join(told, F.col("refers_to") == F.col("of_"), "left")
+    return own.unionByName(again.select(*names, F.col("of_page").alias("refers_to")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,10 @@ def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .privacy import KINDS, joined, sanitise
 
     out = sanitise(table(spark, sf_dir, "documents"))
-    kinds = F.transform("base", lambda s: s["kind"])
-    return out.select("doc_id", *(F.size(F.array_compact(F.transform(kinds, lambda x: F.when(x == F.lit(k), x)))).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    hashed = lambda c, name: F.sha2(c, 256).alias(name)
+    clean = hashed(F.coalesce("clean_text", F.lit("")), "clean_sha256")
+    return out.select("doc_id", *(count(k) for k in KINDS), hashed(joined(F.col("base")), "base_sha256"), joined(F.col("spans")).alias("spans"), clean)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

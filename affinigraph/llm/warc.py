@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ship
+from ._common import materialize, ship, written
 
 BREAK = "\r\n"
 #: The profile that the WARC standard gives to revisits with an identical payload.
@@ -37,44 +37,72 @@ def _id(*parts: Column) -> Column:
 
 
 def _record(kind: str | Column, rid: Column, headers: list[Column], mime: str, block: Column) -> Column:
-    fixed = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.lit(kind) if isinstance(kind, str) else kind), F.concat(F.lit("WARC-Record-ID: "), rid), *headers, F.lit(f"Content-Type: {mime}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return F.concat(F.concat_ws(BREAK, *fixed), F.lit(BREAK * 2), block)
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    fixed = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), rid), *headers]
+    last = [F.lit(f"Content-Type: {mime}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
+    return F.concat(F.concat_ws(BREAK, *fixed, *last), F.lit(BREAK * 2), block)
 
 
-def with_roles(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(page_, url_, body_, digest_, winner_): of rows with equal payloads of at least ``min_bytes`` the largest id is the
-    response; smaller payloads are responses of their own. Digests are combined before the shuffle, and the join back is
-    one that Spark splits where a payload is common."""
-    rows = pages.select(F.col(key).cast("long").alias("page_"), F.col(url).alias("url_"), F.coalesce(F.col(payload), F.lit("")).alias("body_")).withColumn("digest_", base32_sha1(F.col("body_")))
-    best = rows.groupBy(F.col("digest_").alias("of_")).agg(F.max("page_").alias("best_"))
-    joined = rows.join(best, rows.digest_ == best.of_)
-    return joined.withColumn("winner_", F.when(F.octet_length("body_") >= min_bytes, F.col("best_")).otherwise(F.col("page_"))).drop("of_", "best_")
+def numbered(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
+    """(page_, url_, body_, digest_, row_): the rows with their digests and numbers, to be written before they are read twice."""
+    rows = pages.select(F.col(key).cast("long").alias("page_"), F.col(url).alias("url_"), F.coalesce(F.col(payload), F.lit("")).alias("body_"))
+    return rows.withColumn("digest_", base32_sha1(F.col("body_"))).withColumn("row_", F.monotonically_increasing_id())
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 500, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Writes gzip archives. A null payload is empty, a null URL gives no target; line breaks in a URL are escaped.
+def with_roles(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Adds ``winner_``, the number of the row that a row revisits, or null for a response. Of rows with equal payloads of at
+    least ``min_bytes`` those with the largest id are responses; smaller payloads are responses of their own.
 
-    Rows that agree in id and payload share their record ids and are one capture; so are rows without an id that agree in
-    payload.
+    Roles are found from numbers, ids and digests alone, and only those of revisits go back to the payloads, by row number,
+    so that a common payload gathers nowhere.
     """
-    rows = with_roles(pages, min_bytes, key, url, payload)
-    is_response = F.col("page_").eqNullSafe(F.col("winner_"))
-    rid = {k: _id(F.lit(k), F.col("page_"), F.col("digest_")) for k in ("request", "capture", "metadata")}
+    heads = rows.where(F.octet_length("body_") >= min_bytes).select("row_", "page_", "digest_")
+    groups = heads.groupBy("digest_").agg(F.count("*").alias("n"), F.max(F.struct("page_", "row_")).alias("best")).where("n > 1")
+    again = heads.join(groups, "digest_").where(~F.col("page_").eqNullSafe(F.col("best.page_")))
+    roles = materialize(again.select(F.col("row_").alias("of_"), F.col("best.row_").alias("winner_")), "roles")
+    return rows.join(roles, rows.row_ == roles.of_, "left").drop("of_")
+
+
+def write_archives(
+    pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = 32 << 20,
+    key: str = "page_id", url: str = "url", payload: str = "html",
+) -> None:
+    """Writes gzip archives, a capture for each row, repeated ones and those without an id too. A null payload is empty, a null
+    URL gives no target; line breaks in a URL are escaped.
+
+    Captures are written by classes of payload size, so many to a file that its payloads stay below ``file_bytes``; a
+    larger payload has a file of its own.
+    """
+    is_response = F.col("winner_").isNull()
+    rid = {k: _id(F.lit(k), F.col("row_"), F.col("digest_")) for k in ("request", "capture", "metadata")}
     target = F.regexp_replace(F.regexp_replace("url_", "\r", "%0D"), "\n", "%0A")
     common = [F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Target-URI: "), target)]
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), rid["capture"])
-    host, rest = F.regexp_extract(target, r"^[a-z]+://([^/?#]*)", 1), F.regexp_extract(target, r"^[a-z]+://[^/?#]*([^#]*)", 1)
-    ask = F.concat(F.lit("GET "), F.coalesce(F.when(rest == "", "/").otherwise(rest), F.lit("/")), F.lit(" HTTP/1.1" + BREAK + "Host: "), F.coalesce(host, F.lit("")), F.lit(BREAK * 2))
-    head = F.concat(F.lit("HTTP/1.1 200 OK" + BREAK + "Content-Type: text/html; charset=utf-8" + BREAK + "Content-Length: "), F.octet_length("body_").cast("string"), F.lit(BREAK * 2))
+    host, rest = (F.regexp_extract(target, p, 1) for p in (r"^[a-z]+://([^/?#]*)", r"^[a-z]+://[^/?#]*([^#]*)"))
+    asked = F.coalesce(F.when(rest == "", "/").otherwise(rest), F.lit("/"))
+    ask = F.concat(F.lit("GET "), asked, F.lit(" HTTP/1.1" + BREAK + "Host: "), F.coalesce(host, F.lit("")), F.lit(BREAK * 2))
+    top = BREAK.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])
+    head = F.concat(F.lit(top), F.octet_length("body_").cast("string"), F.lit(BREAK * 2))
     body = F.when(is_response, F.concat(head, F.col("body_"))).otherwise(head)
-    answer = [*common, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest_")), F.when(~is_response, F.concat(F.lit("WARC-Refers-To: "), _id(F.lit("capture"), F.col("winner_"), F.col("digest_")))), F.when(~is_response, F.lit(f"WARC-Profile: {PROFILE}"))]
+    refers = F.concat(F.lit("WARC-Refers-To: "), _id(F.lit("capture"), F.col("winner_"), F.col("digest_")))
+    answer = [*common, F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest_")), F.when(~is_response, refers), F.when(~is_response, F.lit(f"WARC-Profile: {PROFILE}"))]
     notes = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_").cast("string"), F.lit("")), F.lit(BREAK))
     records = [
         _record("request", rid["request"], [*common, concurrent], "application/http;msgtype=request", ask),
         _record(F.when(is_response, "response").otherwise("revisit"), rid["capture"], answer, "application/http;msgtype=response", body),
         _record("metadata", rid["metadata"], [*common, concurrent], "application/warc-fields", notes),
     ]
-    rows.select(F.concat_ws(BREAK * 2, *records).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    size = F.octet_length("body_")
+    steps = (-1, file_bytes >> 9, file_bytes >> 5, file_bytes, 1 << 31)
+    classes = list(zip(steps, steps[1:], strict=False))
+    with written(numbered(pages, key, url, payload), "pages") as rows:
+        captures = with_roles(rows, min_bytes)
+        of = F.coalesce(*(F.when(size <= high, F.lit(k)) for k, (_, high) in enumerate(classes))).alias("class_")
+        with written(captures.select(F.concat_ws(BREAK * 2, *records).alias("value"), of), "records") as ready:
+            for k in sorted(r.class_ for r in ready.select("class_").distinct().collect()) or [0]:
+                out = ready.where(F.col("class_") == k).select("value").write.mode("append")
+                out = out.option("lineSep", BREAK * 2).option("compression", "gzip")
+                out.option("maxRecordsPerFile", max(1, file_bytes // classes[k][1])).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple]:

@@ -14,19 +14,23 @@ def test_warc_round_trip(spark):
     rows = [(i, f"https://h.example/{i}?q=1#f" if i != 3 else None, h, "x") for i, h in enumerate(html)] + [(6, "https://h.example/6", "<p>one</p>", "x"), (9, "http://a/\r\nX: y", "z", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, url_ string")
     path = new_path(spark, "warc")
-    write_archives(pages, path)
-    got = {int(r.metadata.page_id): r for r in assemble(read_records(spark, path)).collect()}
+    write_archives(pages, path, file_bytes=1 << 12)
+    every = assemble(read_records(spark, path)).collect()
+    got = {int(r.metadata.page_id): r for r in every}
     bodies = {i: (h or "").encode() for i, _, h, _ in rows}
-    assert set(got) == set(bodies)
-    for i, b in bodies.items():
+    assert set(got) == set(bodies) and len(every) == len(rows)
+    assert sorted(r.response.record_type for r in every if r.metadata.page_id == "6") == ["response"] * 2
+    responses = {r.capture_id: int(r.metadata.page_id) for r in every if r.response.record_type == "response"}
+    for r in every:
+        i = int(r.metadata.page_id)
+        b = bodies[i]
         winner = max(k for k, x in bodies.items() if x == b)
-        r = got[i]
         assert r.response.digest == base64.b32encode(hashlib.sha1(b).digest()).decode()
         assert r.request is not None and r.request.uri == r.response.uri
         if i == winner:
             assert r.response.record_type == "response" and bytes(r.response.payload) == b and r.response.refers_to is None
         else:
-            assert r.response.record_type == "revisit" and r.response.refers_to == got[winner].capture_id and bytes(r.response.payload) == b""
+            assert r.response.record_type == "revisit" and responses[r.response.refers_to] == winner and bytes(r.response.payload) == b""
     assert got[9].response.uri == "http://a/%0D%0AX: y"
     path = new_path(spark, "warc")
     write_archives(pages, path, min_bytes=1)
@@ -34,6 +38,23 @@ def test_warc_round_trip(spark):
     assert [kinds[i] for i in (1, 2, 7)] == ["response"] * 3 and kinds[0] == "revisit"
 
 
+def test_warc_query_keeps_every_row(spark, tmp_path):
+    """One row for each page: null and repeated ids, null and very long payloads; an empty table has none."""
+    from affinigraph.llm.queries import op3_warc
+
+    long = "word " * 1_000_000
+    rows = [(1, "http://a/", "x"), (None, "http://a/", "x"), (2, None, None), (2, None, None), (None, "http://b/", "only"), (None, "http://b/", "only"), (3, "http://c/", long), (4, "http://c/", long)]
+    table = spark.createDataFrame([(*r, "y", 1) for r in rows], "page_id long, url string, html string, body_ string, row_ int")
+    table.write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in op3_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([
+        (1, 1, "response", None), (None, 1, "revisit", 1), (2, 0, "response", None), (2, 0, "response", None),
+        (None, 4, "response", None), (None, 4, "response", None), (3, len(long), "revisit", 4), (4, len(long), "response", None),
+    ], key=str)
+    table.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    assert op3_warc(spark, str(tmp_path)).count() == 0
+
+
 def test_warc_damage():
     from affinigraph.llm.warc import parse
 
