@@ -32,6 +32,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many bytes, measured, are sent to every task; larger ones are joined by a shuffle.
+SENT_BYTES = 8 << 20
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether a written table has at most SENT_BYTES, measured as text."""
+    return (table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0) <= SENT_BYTES
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(table) if is_small(table) else table
+
+
+def joined_by(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, how: str = "inner", small: bool | None = None, salts: int = 16) -> DataFrame:
+    """``rows`` joined with a table of one row for each key, of which one may hold a large share of the rows.
+
+    A small table is sent; ``small`` is None to measure it, which it must be written for. A larger one is repeated under
+    ``salts`` numbers and each row takes the number that its ``spread`` hashes to, so that no key's rows meet in one task.
+    """
+    if is_small(keys) if small is None else small:
+        return rows.join(F.broadcast(keys), on, how)
+    salted = keys.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*on, "salt_"], how).drop("salt_")
+
+
 @contextmanager
 def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """A table written as by materialize(), deleted at the end: for what is read within only."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_struct, from_struct, materialize
+from ._common import as_struct, from_struct, joined_by, materialize
 
 BLANKS = " \t\r"
 
@@ -28,31 +28,33 @@ def line_table(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
 def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12, margin: float = 0.1) -> DataFrame:
     """(h, first_): hashes of lines on at least ``min_sites`` sites, and the smallest document that has each.
 
-    A line on so many sites occurs as often, so sketches are built only for lines that do. Hot lines are combined before
-    each shuffle; the join back to the lines is left to Spark, which splits skewed keys.
+    A line on so many sites occurs as often, so sketches are built only for lines that do. Aggregates combine a hot line's
+    rows before each shuffle, and joins back to the lines send a small table or salt a large one.
     """
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h")
+    often = materialize(lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h"), "often")
+    placed = lines.where(F.col("site_").isNotNull())
     spread = (
-        lines.where(F.col("site_").isNotNull()).join(often, "h", "left_semi")
+        joined_by(placed, often, ["h"], F.col("doc_"), "left_semi")
         .groupBy("h").agg(F.hll_sketch_agg("site_", lg_k).alias("sketch"))
         .select("h", F.hll_sketch_estimate("sketch").alias("sites"))
     )
     spread = materialize(spread.where(F.col("sites") >= int(min_sites * (1 - margin))), "spread")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin) + 1).select("h")
-    exact = lines.where(F.col("site_").isNotNull()).join(near, "h", "left_semi").select("h", "site_").distinct().groupBy("h").agg(F.count("*").alias("exact"))
-    bad = spread.join(exact, "h", "left").where(F.coalesce("exact", "sites") >= min_sites).select("h")
-    return lines.join(bad, "h", "left_semi").groupBy("h").agg(F.min("doc_").alias("first_"))
+    exact = joined_by(placed, near, ["h"], F.col("doc_"), "left_semi").select("h", "site_").distinct().groupBy("h").agg(F.count("*").alias("exact"))
+    bad = materialize(spread.join(exact, "h", "left").where(F.coalesce("exact", "sites") >= min_sites).select("h"), "bad")
+    return joined_by(lines, bad, ["h"], F.col("doc_"), "left_semi").groupBy("h").agg(F.min("doc_").alias("first_"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with the remaining text, and ``n_lines``, ``n_removed`` (in place of columns so named).
 
     Lines are compared without blanks at their ends; blank lines never count as boilerplate. A null site is no site. A null
-    text stays null, with no lines. Repeated rows keep or lose the same lines; among ids, a null comes last.
+    text stays null, with no lines. Repeated rows keep or lose the same lines; among ids, a null comes last. Lines and texts
+    are known by 64-bit hashes: of n distinct lines about n ** 2 / 2 ** 65 pairs agree by chance (one in 10 ** 10 lines).
     """
     lines = materialize(line_table(docs, key, text, site), "lines")
     bad = materialize(boilerplate(lines, min_sites), "boilerplate")
-    drop = lines.join(bad, "h").where(~F.col("doc_").eqNullSafe(F.col("first_"))).groupBy("doc_", "text_").agg(F.collect_set("h").alias("drop_"))
+    drop = joined_by(lines, bad, ["h"], F.col("doc_")).where(~F.col("doc_").eqNullSafe(F.col("first_"))).groupBy("doc_", "text_").agg(F.collect_set("h").alias("drop_"))
     rows = docs.select(as_struct(docs), F.col(key).cast("long").alias("key_"), F.xxhash64(text).alias("hash_"))
     joined = rows.join(drop, F.col("key_").eqNullSafe(F.col("doc_")) & (F.col("hash_") == F.col("text_")), "left")
     split = F.split(F.col("row_")[text], "\n")

@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_struct, from_struct, materialize
-
-#: Tables of at most so many bytes, measured, are sent to every task; larger ones are joined by a shuffle.
-SENT_BYTES = 8 << 20
+from ._common import as_struct, from_struct, materialize, sent_if_small
 
 #: What a pair on few lines counts less, so that chance in a small corpus is not disclosing.
 DISCOUNT = 0.5
@@ -93,12 +90,6 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sent_if_small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has at most SENT_BYTES."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= SENT_BYTES else df
-
-
 def entity(value: Column) -> Column:
     """The form under which mentions of one entity agree: digits alone of a number, lower case of the rest."""
     lower = F.lower(value)
