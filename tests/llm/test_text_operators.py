@@ -203,7 +203,7 @@ def components(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"short": 4, "block": 8, "k": 32}])
+@pytest.mark.parametrize("options", [{}, {"short": 4, "block": 8, "k": 32, "leaders": 2}, {"exact": True, "k": 2, "short": 4, "block": 8, "leaders": 1}])
 def test_near_duplicates(spark, corpus, options):
     from affinigraph.llm.near_duplicates import drop_near_duplicates, near_duplicates
 
@@ -231,6 +231,34 @@ def test_near_duplicates(spark, corpus, options):
         assert near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_with_shared_ids(spark):
+    """Of rows with one id that with the fewest shingles counts; but rows are dropped each for its own text."""
+    from affinigraph.llm.near_duplicates import drop_near_duplicates, near_duplicates
+
+    rng = random.Random(4)
+    a, b, c = (words(rng, n, 10**6) for n in (40, 50, 60))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (None, c), (None, c), (4, c), (5, None), (5, ""), (5, None)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == {1: (36, 1), 2: (36, 1), 3: (46, 3), 4: (56, 4), 5: (0, 5)}
+    kept = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (4, c), (5, None), (5, ""), (5, None)], key=str)
+
+
+def test_joins_of_large_tables_are_salted(spark):
+    from pyspark.sql import functions as F
+
+    from affinigraph.llm._common import joined_by
+
+    rows = spark.range(300).select("id", F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 5).alias("k"))
+    keys = spark.createDataFrame([(7, "hot"), (1, "one"), (9, "none")], "k long, name string")
+    want = sorted(map(tuple, rows.join(keys, "k").select("id", "name").collect()))
+    for small in (True, False):
+        assert sorted(map(tuple, joined_by(rows, keys, ["k"], F.col("id"), small=small).select("id", "name").collect())) == want
+        assert joined_by(rows, keys, ["k"], F.col("id"), "left", small=small).count() == 300
+        assert joined_by(rows, keys, ["k"], F.col("id"), "left_semi", small=small).count() == len(want)
+
+
 # 8
 
 
