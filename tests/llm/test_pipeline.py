@@ -62,3 +62,19 @@ def test_pipeline(spark, tmp_path):
         ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
         for r in got[i]:
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, columns with names of helpers; and an empty table."""
+    rng = random.Random(6)
+    text = [" ".join("".join(rng.choices(["ka", "lu", "mo", "ti", "re"], k=3)) for _ in range(50)) for _ in range(8)]
+    item = text[7]
+    rows = [(i, text[i], "aa") for i in range(4)] + [(1, text[1], "aa"), (1, text[4], "aa"), (None, text[5], "aa"), (None, text[5], "aa"), (None, text[0], "aa"), (None, text[6] + " " + item, "aa")]
+    rows += [(9, "", None), (10, None, None), (11, item, "aa")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1, 2, "x", "y") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, row_ int, text_ string, h string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    firsts = [(r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.start == 0]
+    assert sorted((i for i, _ in firsts), key=str) == sorted([0, 1, 2, 3, 1, None], key=str)
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
