@@ -1,4 +1,7 @@
-"""A training corpus from ``documents``: five stages, each written as Parquet and read again for the next."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again for the next.
+
+Columns other than the table's own are ignored. An empty table gives none.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +17,16 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a letter whose language is recognised. The network learns from the labelled ones."""
+    """Keeps documents with a letter whose language is recognised. The network learns from the labelled ones; without any,
+    or without documents, none is kept. Null and empty texts go; repeated rows stay or go alike; ids may be null."""
     rest = tuple(c for c in COLUMNS if c != "text")
     named = language.identify(docs.select(*COLUMNS), language.train(docs), keep=rest, keep_text=True)
     return named.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site lines out of all documents but the first; documents of such lines alone go."""
+    """Takes cross-site lines out of all documents but the first; documents of such lines alone go. ``n_chars`` follows a
+    changed text. Repeated rows lose the same lines; among ids, a null comes last; a null source is no site."""
     out = lines.remove_boilerplate(docs.select(*COLUMNS), min_sites=queries.MIN_SITES)
     left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")) & F.col("text").rlike(r"\S")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -29,7 +34,8 @@ def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, with the smallest id, of each component of near duplicates."""
+    """Keeps one row, that with the smallest id, of each component of near duplicates. Each row is judged by its own text:
+    repeated rows leave one, a null id comes last, and a text without words stays."""
     return near_duplicates.drop_near_duplicates(docs.select(*COLUMNS))
 
 
@@ -39,7 +45,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of fixed windows of the concatenated tokens."""
+    """Pieces of fixed windows of the concatenated tokens. A null or empty text is one end id; repeated rows are packed each."""
     return packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
