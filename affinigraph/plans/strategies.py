@@ -3,14 +3,12 @@ residuals, lengths, products, partitions of fixtures and agreement with the mode
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import buckets, clustering, eigen, graph, landmarks, metrics
 from ..sources import datagen, points
-from ..sources.store import settle, shared_folder
+from ..sources.store import new_path, settle
 from . import pipelines
 from .catalogue import DIGEST, EMBED_K, LEAD, LEVELS, LM_SIGMA, SIGMA, SIGS, P, bucket_near, digest, embeddings, near, query, r6, signed
 
@@ -159,7 +157,8 @@ def lsh_spectrum(spark, d):
 def landmark_products(spark, d):
     """Columns of the landmark embedding are orthonormal over all points."""
     e = settle(landmarks.landmark_embedding(embeddings(spark, d), EMBED_K, F.col("id") % 50 == 0, LM_SIGMA).select("id", F.posexplode("e").alias("a", "x")))
-    g = e.join(e.select("id", F.col("a").alias("b"), F.col("x").alias("y")), "id").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    other = e.select("id", F.col("a").alias("b"), F.col("x").alias("y"))
+    g = e.join(other, "id").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
     return g.select("a", "b", (F.round("g", 6) + F.lit(0.0)).alias("g"))
 
 
@@ -200,7 +199,7 @@ def predict_agrees(spark, d):
 @query("SELECT * FROM (VALUES ('kmeans', 240, 3, 80, true), ('knn', 240, 3, 80, true), ('landmark', 240, 3, 80, true), ('lsh', 240, 3, 80, true)) t(strategy, n, clusters, largest, tight)")
 def generated_pipelines(spark, d):
     """The command-line pipelines, from a file of three generated heaps of 80 points each."""
-    path = f"{shared_folder(spark)}/affinigraph/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     heaps = spark.range(240).select((F.col("id") % 3).alias("k"), *(((F.col("id") % 3 == c).cast("double") + F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 1e5).alias(f"c{c}") for c in range(4)))
     points.write_csv_vectors(heaps.select(F.array(*(f"c{c}" for c in range(4))).alias("v")), path)
     runs = {
@@ -216,13 +215,14 @@ def generated_points(spark, d):
     """Every generated point lies in the unit cube, within the scatter above its centre."""
     g = datagen.clustered_points(spark, 2000, 8, 5, 0.02).join(datagen.centres(spark, 5, 8).withColumnRenamed("v", "c"), "cluster")
     off = F.zip_with("v", "c", lambda x, y: (x - y >= 0) & (x - y < 0.02) | (x == 1) | (x == 0))
-    return g.agg(F.count("*").cast("int").alias("n"), F.max(F.size("v")).alias("width"), F.min(F.forall("v", lambda x: (x >= 0) & (x <= 1))).alias("inside"), F.min(F.forall(off, lambda x: x)).alias("near"))
+    inside = F.forall("v", lambda x: (x >= 0) & (x <= 1))
+    return g.agg(F.count("*").cast("int").alias("n"), F.max(F.size("v")).alias("width"), F.min(inside).alias("inside"), F.min(F.forall(off, lambda x: x)).alias("near"))
 
 
 @query(f"{P} SELECT {DIGEST.format(v='v')} AS digest, CAST(len(v) AS INTEGER) AS width FROM p")
 def csv_file(spark, d):
     """Vectors written as lines of a file, over what is there, and read again."""
-    path = f"{shared_folder(spark)}/affinigraph/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     p = embeddings(spark, d)
     for _ in range(2):
         points.write_csv_vectors(p, path)

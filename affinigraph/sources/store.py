@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent.parent
 _temporary: list[str] = []
 _shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,6 +54,28 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _temporary[0]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the storage that all executors share; clean_up() deletes it."""
+    path = f"{shared_folder(spark)}/affinigraph/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage through Hadoop's file system."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Call it when results have been written."""
+    for path in list(_made.get(spark.sparkContext.applicationId, [])):
+        drop_path(spark, path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows of ``df``, checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -20,4 +20,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from affinigraph.sources.store import clean_up
+
+    clean_up(s)
     s.stop()
