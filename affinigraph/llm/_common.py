@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,22 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import shared_folder, ship
-
-_made: dict[str, list[str]] = {}
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder's name in the storage that all executors share; clean_up() deletes it."""
-    ship(spark)
-    path = f"{shared_folder(spark)}/affinigraph/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+from ..sources.store import drop_path, new_path, ship
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,12 +36,14 @@ def sent_if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if is_small(table) else table
 
 
-def joined_by(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, how: str = "inner", small: bool | None = None, salts: int = 16) -> DataFrame:
+def joined_by(
+    rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, how: str = "inner", small: bool | None = None, salts: int = 16,
+) -> DataFrame:
     """``rows`` joined with a table of one row for each key, of which one may hold a large share of the rows.
 
     A small table is sent; ``small`` is None to measure it, which it must be written for. A larger one is repeated under
     ``salts`` numbers and each row takes the number that its ``spread`` hashes to, so that no key's rows meet in one task.
-    """
+    """
     if is_small(keys) if small is None else small:
         return rows.join(F.broadcast(keys), on, how)
     salted = keys.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -61,27 +53,13 @@ def joined_by(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, h
 @contextmanager
 def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """A table written as by materialize(), deleted at the end: for what is read within only."""
+    ship(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     yield df.sparkSession.read.schema(df.schema).parquet(path)
-    _made[df.sparkSession.sparkContext.applicationId].remove(path)
     drop_path(df.sparkSession, path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared storage through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application. Call it when results have been written."""
-    made = _made.get(spark.sparkContext.applicationId, [])
-    while made:
-        drop_path(spark, made.pop())
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -155,6 +155,30 @@ def test_token_counts(spark, corpus):
             assert [r.n_tokens for r in sorted(got[i], key=lambda r: r.section)] == [want.get(k, 0) for k in range(len(pieces))]
     with pytest.raises(ValueError):
         section_counts(table(spark, rows), path, public_tokenizers.PATTERN, rule="other")
+    assert section_counts(table(spark, []), path, public_tokenizers.PATTERN).count() == 0
+    again = section_counts(table(spark, [corpus[0]] * 3), path, public_tokenizers.PATTERN).collect()
+    assert len(again) == 3 and len(set(again)) == 1
+
+
+def test_token_counts_of_fields(spark):
+    from affinigraph.llm.token_counts import field_counts
+    from affinigraph.llm.tokenizing import byte_tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = byte_tokenizer(path, public_tokenizers.PATTERN).encoding
+    rows = [(1, "A title", "a body of some words", "x"), (2, None, "only a body", None), (None, "", "", ""), (1, "A title", "a body of some words", "x"), (3, "éé", "  \n", "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string, tail string")
+    got = field_counts(docs, ["title", "text", "tail"], path, public_tokenizers.PATTERN).collect()
+    assert len(got) == 15
+    for i, *values in rows:
+        whole = "\n".join(v or "" for v in values)
+        own = [r for r in got if r.doc_id == i]
+        copies = sum(r[0] == i for r in rows)
+        assert sum(r.n_tokens for r in own) == copies * len(enc.encode_ordinary(whole))
+        ends = {r.field: (r.start_byte, r.end_byte) for r in own}
+        assert ends["title"][0] == 0 and ends["tail"][1] == len(whole.encode()) and ends["title"][1] == ends["text"][0]
+    assert {r.field: r.n_tokens for r in got if r.doc_id == 2}["tail"] == 0
+    assert field_counts(docs.limit(0), ["title"], path, public_tokenizers.PATTERN).count() == 0
 
 
 # 4
@@ -174,6 +198,10 @@ def test_line_dedup(spark):
     assert got[20] == (1, 1, "") and got[21] == (0, 0, None) and got[22] == (1, 0, "") and got[23] == (4, 0, "twice\ntwice\n\n")
     assert got[None] == (2, 1, "x") and got[33] == (1, 0, "few sites")
     assert remove_boilerplate(table(spark, [])).count() == 0
+    long = "common line\n" + "one long line " * 200_000
+    twice = table(spark, rows[:12] + [(40, long, "en", "s1"), (40, long, "en", "s1"), (40, "another text", "en", "s1")])
+    got = sorted(r.text for r in remove_boilerplate(twice, min_sites=4).where("doc_id = 40").collect())
+    assert got == ["another text", "one long line " * 200_000, "one long line " * 200_000]
 
 
 # 5
