@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .words import TERM, WORD, ascii_lowercase, ascii_uppercase
 
 
 #: A line on so many distinct sites is boilerplate.
@@ -100,12 +101,33 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(named, train(docs), keep=("doc_id", "held_out"))
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .top_products import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10_000, min_words=20, seed=2024)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), min_docs=3, top_terms=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC_SQL, "op4_line_dedup": LINES_SQL}
+    return {
+        "op3_warc": WARC_SQL, "op4_line_dedup": LINES_SQL, "op11_exact_search": TOP_SQL, "op12_resampling": RESAMPLING_SQL,
+        "op13_source_divergence": DIVERGENCE_SQL,
+    }
 
 
 # SHA-1 in base32: as in the operator, 20 bits give 4 letters
@@ -131,3 +153,49 @@ r AS (SELECT k.doc_id, count(*) AS n, count(bad.key) FILTER (k.doc_id <> first_d
 SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN r USING (doc_id)
 """
+
+TOP_SQL = """
+WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS query_id, b.id AS vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+# CRC-32 by its rule: a table of all bytes, and a fold over the bytes of each distinct word
+RESAMPLING_SQL = f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab FROM range(256) t(b)),
+w AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{WORD}') AS ws FROM documents),
+x AS (SELECT r, unnest(ws) AS word FROM w),
+y AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{WORD}')) AS word FROM benchmark),
+u AS (SELECT DISTINCT word FROM (SELECT word FROM x UNION ALL SELECT word FROM y)),
+z AS (SELECT word, list_prepend(4294967295, list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))) AS bs FROM u),
+h AS (SELECT word, xor(list_reduce(bs, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM z, tab),
+s AS (SELECT b, count(*) AS n FROM x JOIN h USING (word) GROUP BY b), t AS (SELECT b, count(*) AS n FROM y JOIN h USING (word) GROUP BY b),
+g AS (SELECT range AS b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM x) + 10000) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM y) + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) LEFT JOIN s ON s.b = range LEFT JOIN t ON t.b = range),
+d AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM x JOIN h USING (word) JOIN g USING (b) GROUP BY r),
+e AS (SELECT doc_id, r, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN d USING (r)),
+f AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score, n_features >= 20 AS enough FROM e),
+k AS (SELECT *, CASE WHEN enough THEN row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) END AS place FROM f)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM f WHERE enough) // 100 THEN place END AS rank FROM k
+"""
+
+DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, '{ascii_uppercase}', '{ascii_lowercase}'), '{TERM}')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+size AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grp AS (SELECT lang, source, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM c WHERE c.lang = s.lang AND c.source = s.source), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) s),
+sh AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + z.v) AS BIGINT) AS p
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN size z ON z.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT k.lang, k.term, CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (z.total + z.v) AS BIGINT) AS q FROM kept k JOIN size z USING (lang)),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p)::HUGEINT * (a.p - b.p)) // b.p) AS f FROM sh a JOIN sh b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q)::HUGEINT * (p - q)) // q AS BIGINT) AS value FROM sh JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

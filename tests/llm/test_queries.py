@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_privacy": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op9_decontamination": "doc_id bigint, item_id bigint",
     "op10_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_exact_search": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op12_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
@@ -43,7 +46,7 @@ def test_query(spark, folder, name):
         c, t = column.split()
         assert have[c] == t, column
     rows = df.collect()
-    if name in ("op1_suffix_dedup", "op4_line_dedup", "op5_near_duplicates", "op8_privacy", "op10_language"):
+    if name in ("op1_suffix_dedup", "op4_line_dedup", "op5_near_duplicates", "op8_privacy", "op10_language", "op12_resampling"):
         assert sorted(r.doc_id for r in rows) == list(range(10))
     if name == "op3_warc":
         assert sorted(r.page_id for r in rows) == list(range(10))
@@ -51,6 +54,10 @@ def test_query(spark, folder, name):
         assert {r.doc_id for r in rows} == set(range(10)) and sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
     if name == "op7_nearest_neighbours":
         assert [(r.query_id, r.rank) for r in sorted(rows, key=lambda r: r.rank)] == [(0, k) for k in range(1, 6)]
+    if name == "op11_exact_search":
+        assert [(r.query_id, r.rank) for r in sorted(rows, key=lambda r: (r.query_id, r.rank))] == [(q, k) for q in (0, 100) for k in range(1, 11)]
+    if name == "op13_source_divergence":
+        assert {(r.lang, r.source) for r in rows if r.part == "pair"} == {("en" if i % 2 else "", f"s{i}") for i in range(10)}
     if name == "op9_decontamination":
         assert {r.doc_id for r in rows} == {0, 1, 5, 7, 8}
     assert queries.queries()[name](spark, f"{folder}/none").count() == 0
