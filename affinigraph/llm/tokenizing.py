@@ -15,6 +15,7 @@ CACHE_ENTRIES = 500_000
 #: The word-splitting rule and normalisation of the word-end BPE vocabulary, as its file states them.
 _WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PLAIN = re.compile(rb"[!-~]+")
 
 
 def _byte_letters() -> list[str]:
@@ -27,8 +28,9 @@ def _byte_letters() -> list[str]:
 class WordTokenizer:
     """Ids of a ``tokenizers`` vocabulary that drops white space.
 
-    No token of such a vocabulary crosses white space, so ids are kept for each chunk between ASCII white space. Texts
-    that name a special token, and vocabularies of another make, go through the library whole.
+    No token of such a vocabulary crosses white space, so ids are kept for each chunk between ASCII white space. A chunk of
+    printable ASCII, or with characters that the library was seen to lower and to part as the rule here does, is split here;
+    any other goes through the library. So do, whole, texts that name a special token, and vocabularies of another make.
     """
 
     def __init__(self, path: str):
@@ -47,7 +49,8 @@ class WordTokenizer:
             import regex
 
             self.rule = regex.compile(_WORD_RULE)
-            self.ascii_rule = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+            self.ascii_rule = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+            self.safe: dict[str, bool] = {}
             self.letters = _byte_letters()
             self.model = self.full.model
             self.chunks: dict[bytes, bytes] = {}
@@ -62,14 +65,29 @@ class WordTokenizer:
             ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
         return ids
 
+    def _is_safe(self, c: str) -> bool:
+        """Whether a character is a letter, number, sign or mark of punctuation that composes with none before it, and that
+        the library lowers and parts from its neighbours as the rule here does (their versions of Unicode may differ)."""
+        ok = self.safe.get(c)
+        if ok is None:
+            ok = unicodedata.category(c)[0] in "LNPS" and c not in "Σİ" and not "\u1100" <= c <= "\u11ff"
+            low = unicodedata.normalize("NFC", c).lower()
+            ok = ok and self.full.normalizer.normalize_str(c) == low
+            if ok:
+                around = f"a{low}a {low} 1{low}1 !{low}!"
+                told = [around[i:j] for _, (i, j) in self.full.pre_tokenizer.pre_tokenize_str(around)]
+                ok = told == [x for w in around.split(" ") for x in self.rule.findall(w)]
+            self.safe[c] = ok
+        return ok
+
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if text.isascii():
+        if _PLAIN.fullmatch(chunk):
             found = self.ascii_rule.findall(text.lower())
-        elif "Σ" in text or "İ" in text or len(text) > 10_000:
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
+        elif len(text) <= 10_000 and all(" " < c < "\x7f" or self._is_safe(c) for c in set(text)):
             found = self.rule.findall(unicodedata.normalize("NFC", text).lower())
+        else:
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([self._piece(x) for x in found])
 
     def encode(self, raw: bytes) -> bytes:
