@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import as_struct, from_struct, joined_by, materialize
+from .words import bound
 
 BLANKS = " \t\r"
 
@@ -45,6 +46,12 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12, margin: float
     return joined_by(lines, bad, ["h"], F.col("doc_"), "left_semi").groupBy("h").agg(F.min("doc_").alias("first_"))
 
 
+def in_sorted(x: Column, values: Column, steps: Column) -> Column:
+    """Whether an ascending array has x, by halving: ``steps`` are the powers of two up to its size, falling."""
+    below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(values, at + s - 1) <= x, at + s).otherwise(at))
+    return bound(below, lambda at: (at > 0) & F.coalesce(F.get(values, at - 1) == x, F.lit(False)))
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with the remaining text, and ``n_lines``, ``n_removed`` (in place of columns so named).
 
@@ -54,11 +61,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, key: str = "doc_id"
     """
     lines = materialize(line_table(docs, key, text, site), "lines")
     bad = materialize(boilerplate(lines, min_sites), "boilerplate")
-    drop = joined_by(lines, bad, ["h"], F.col("doc_")).where(~F.col("doc_").eqNullSafe(F.col("first_"))).groupBy("doc_", "text_").agg(F.collect_set("h").alias("drop_"))
+    drop = joined_by(lines, bad, ["h"], F.col("doc_")).where(~F.col("doc_").eqNullSafe(F.col("first_"))).groupBy("doc_", "text_").agg(F.sort_array(F.collect_set("h")).alias("drop_"))
+    falling = F.transform(F.sequence(F.floor(F.log2(F.size("drop_"))).cast("int"), F.lit(0)), lambda b: F.pow(F.lit(2), b).cast("int"))
+    drop = drop.withColumn("steps_", falling)
     rows = docs.select(as_struct(docs), F.col(key).cast("long").alias("key_"), F.xxhash64(text).alias("hash_"))
     joined = rows.join(drop, F.col("key_").eqNullSafe(F.col("doc_")) & (F.col("hash_") == F.col("text_")), "left")
     split = F.split(F.col("row_")[text], "\n")
-    kept = F.when(F.col("drop_").isNull(), split).otherwise(F.filter(split, lambda x: ~F.array_contains("drop_", line_hash(x)) | (F.btrim(x, F.lit(BLANKS)) == "")))
+    stays = lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | bound(line_hash(x), lambda h: ~in_sorted(h, F.col("drop_"), F.col("steps_")))
+    kept = F.when(F.col("drop_").isNull(), split).otherwise(F.filter(split, stays))
     new = {
         "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size(split) - F.size("kept_"), F.lit(0)).cast("long"),

@@ -147,3 +147,19 @@ def test_divergence_without_sent_tables(spark, monkeypatch):
     want = sorted(tuple(r) for r in divergence.audit(docs).collect())
     monkeypatch.setattr(divergence, "is_small", lambda df: False)
     assert sorted(tuple(r) for r in divergence.audit(docs).collect()) == want
+
+
+def test_documents_of_many_boilerplate_lines(spark):
+    """20,000 lines that all go, in each of ten documents, among lines that stay: work follows the lines."""
+    import time
+
+    from affinigraph.llm.lines import remove_boilerplate
+
+    common = [f"line number {i} of the license" for i in range(20_000)]
+    rows = [(i, "\n".join([f"own {i}", *common, "", f"end {i}"]), f"s{i}") for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in remove_boilerplate(docs, 10).collect()}
+    assert got[0] == (20_003, 0, rows[0][1])
+    assert all(got[i] == (20_003, 20_000, f"own {i}\n\nend {i}") for i in range(1, 11))
+    assert time.perf_counter() - began < 100
