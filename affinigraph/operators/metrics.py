@@ -74,3 +74,8 @@ def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([names[k] for k in at], kind), pa.array(d)], names=["id", "v", "cluster", "d"])
 
     return points.select("id", "v").mapInArrow(run, schema)
+
+
+def cost(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(cost): the sum of the squared distances of the points, as they are, to the closest of the given centres."""
+    return nearest_centre(points, centres).agg(F.sum("d").alias("cost"))

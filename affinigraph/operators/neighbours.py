@@ -13,6 +13,7 @@ from ..functions.blocks import matrix, nearest
 from ..functions.vectors import squared_distance
 from ..sources.points import width_of
 from ..sources.store import ship
+from . import sparse
 
 #: Points of a block: two of them, and their distances in parts, fit a task with ease.
 BLOCK = 16_384
@@ -20,13 +21,6 @@ BLOCK = 16_384
 SMALL = 128
 
 
-def pair_distances(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """(i, j, d) of every pair; ``right`` must be small enough to send."""
-    a = left.select(F.col("id").alias("i"), F.col("v").alias("x"))
-    b = right.select(F.col("id").alias("j"), F.col("v").alias("y"))
-    return a.crossJoin(F.broadcast(b)).select("i", "j", squared_distance("x", "y", width).alias("d"))
-
-
 def blocks_for(n: int, block: int) -> int:
     """Blocks of at most ``block`` points; some more of a small set, so that several tasks share the pairs."""
     return max(1, -(-n // block), min(6, n // 256))
@@ -50,10 +44,11 @@ def first_per_row(pairs: DataFrame, t: int) -> DataFrame:
 
 
 def neighbours(points: DataFrame, t: int, block: int = BLOCK) -> DataFrame:
-    """(i, j, d, rank): the t nearest points of each, itself included."""
+    """(i, j, d, rank): the t nearest points of each, itself included. Points may be sparse, in blocks an eighth as large."""
     if t < 1:
         raise ValueError(f"t must be 1 or more, not {t}")
     width_of(points)
+    block = max(1, block // 8) if sparse.is_sparse(points) else block
     return first_per_row(_in_blocks(points, t, F.lit(blocks_for(points.count(), block)), F.lit(0)), t)
 
 
@@ -61,6 +56,7 @@ def _in_blocks(points: DataFrame, t: int, blocks, bucket) -> DataFrame:
     """Candidates (i, j, d): each pair of blocks of a bucket is compared once, by one task, which keeps t for each row of
     either. ``blocks``: how many a bucket has."""
     ship(points.sparkSession)
+    thin = sparse.is_sparse(points)
     p = points.select("id", "v", bucket.alias("bucket"), blocks.cast("int").alias("parts"))
     p = p.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
@@ -69,13 +65,14 @@ def _in_blocks(points: DataFrame, t: int, blocks, bucket) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         ids, first = table.column("id").to_numpy(), table.column("first").to_numpy(zero_copy_only=False)
-        v = matrix(table.column("v"), len(ids))
+        v = sparse.Rows.of(table.column("v")) if thin else matrix(table.column("v"), len(ids))
         alone = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        sides = [(v, ids)] if alone else [(v[first], ids[first]), (v[~first], ids[~first])]
+        part = (lambda which: v.take(np.nonzero(which)[0])) if thin else (lambda which: v[which])
+        sides = [(v, ids)] if alone else [(part(first), ids[first]), (part(~first), ids[~first])]
         i, j, d = [], [], []
         for (x, own), (y, to) in [(sides[0], sides[-1]), (sides[-1], sides[0])][: len(sides)]:
             if len(x) and len(y):
-                row, at, dist = nearest(x, y, to, t)
+                row, at, dist = (sparse.nearest if thin else nearest)(x, y, to, t)
                 i.append(own[row])
                 j.append(to[at])
                 d.append(dist)

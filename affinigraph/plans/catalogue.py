@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import buckets, clustering, graph, landmarks, metrics, neighbours
-from ..sources import datagen, points
+from ..operators import bounds, buckets, clustering, graph, landmarks, metrics, neighbours, sparse
+from ..sources import points
+from ..sources.store import settle
 
 WIDTH = 64
 T = 10
@@ -153,6 +154,54 @@ def knn_t_blocks(spark, d):
     return rounded(neighbours.neighbours(embeddings(spark, d), T, block=100), "d")
 
 
+@query(f"{KNN} SELECT i, j, rank, round(d, 6) AS d FROM k")
+def knn_t_bounds(spark, d):
+    """The same by balls and triangle bounds."""
+    return rounded(bounds.neighbours_by_bounds(embeddings(spark, d), T), "d")
+
+
+#: Distinct line items as points of whole numbers, numbered in their order. For SQL, prices within 300 either side hold the
+#: ten nearest of most; rows of which the tenth lies further off are compared with all.
+ITEMS = """WITH u AS (SELECT DISTINCT round(l_quantity * 100) AS a, round(l_extendedprice * 100) AS b, round(l_discount * 100) AS c, round(l_tax * 100) AS d FROM lineitem),
+p AS (SELECT row_number() OVER (ORDER BY a, b, c, d) - 1 AS id, * FROM u),
+n1 AS (SELECT x.id AS i, y.id AS j, (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2 AS d FROM p x JOIN p y ON y.b BETWEEN x.b - 30000 AND x.b + 30000),
+k1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM n1) WHERE rank <= 10),
+far AS (SELECT p.* FROM p LEFT JOIN k1 ON k1.i = p.id AND rank = 10 WHERE k1.d IS NULL OR k1.d > 30000.0 ** 2),
+n2 AS (SELECT x.id AS i, y.id AS j, (x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2 AS d FROM far x, p y),
+k2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM n2) WHERE rank <= 10)"""
+
+
+def items(spark, d):
+    v = F.array(*(F.round(F.col(c).cast("double") * 100) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    distinct = table(spark, d, "lineitem").select(v.alias("v")).distinct()
+    return points.dense_index(distinct, "v").select(F.col("idx").alias("id"), "v")
+
+
+@query(f"{ITEMS} SELECT i, j, CAST(rank AS INTEGER) AS rank, d FROM k1 WHERE i NOT IN (SELECT id FROM far) UNION ALL SELECT i, j, CAST(rank AS INTEGER), d FROM k2")
+def knn_lineitem(spark, d):
+    """The ten nearest of every distinct line item, by balls and triangle bounds."""
+    return bounds.neighbours_by_bounds(items(spark, d), T)
+
+
+TERMS = """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[^A-Za-z]+')) AS term FROM documents), c AS (SELECT doc_id AS id, term, CAST(count(*) AS DOUBLE) AS n FROM w WHERE term <> '' GROUP BY doc_id, term),
+m AS (SELECT id, sum(n * n) AS m FROM c GROUP BY id), g AS (SELECT x.id AS i, y.id AS j, sum(x.n * y.n) AS g FROM c x JOIN c y USING (term) GROUP BY x.id, y.id),
+s AS (SELECT a.id AS i, b.id AS j, a.m + b.m - 2 * coalesce(g.g, 0) AS d FROM m a CROSS JOIN m b LEFT JOIN g ON g.i = a.id AND g.j = b.id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INTEGER) AS rank FROM s)"""
+
+
+def term_points(spark, d):
+    """Documents as sparse points: how often each has each term, terms numbered in their order."""
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
+    counts = settle(table(spark, d, "documents").select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").count())
+    terms = settle(points.dense_index(counts.select("term").distinct(), "term"))
+    return sparse.from_entries(counts.join(terms, "term"), "doc_id", "idx", "count", terms.count())
+
+
+@query(f"{TERMS} SELECT i, j, d, rank FROM k WHERE rank <= {T}")
+def knn_terms(spark, d):
+    return neighbours.neighbours(term_points(spark, d), T)
+
+
 @query(f"{EDGES} SELECT i, j, round(d, 6) AS d FROM e")
 def sym_edges(spark, d):
     return rounded(graph.symmetric_edges(near(spark, d)), "d")
@@ -433,20 +482,6 @@ def predict_lookup(spark, d):
     return asked.join(found, "v").select("id", "cluster")
 
 
-# Generator
-
-
-@query("SELECT i AS part, CASE WHEN i < 1003 % 8 THEN i * (1003 // 8 + 1) ELSE i * (1003 // 8) + 1003 % 8 END AS start, CASE WHEN i < 1003 % 8 THEN (i + 1) * (1003 // 8 + 1) ELSE (i + 1) * (1003 // 8) + 1003 % 8 END AS \"end\" FROM range(8) t(i)")
-def gen_ranges(spark, d):
-    return datagen.slices(spark, 1003, 8)
-
-
-@query()
-def gen_points(spark, d):
-    g = datagen.clustered_points(spark, 2000, 8, 5, 0.02)
-    return g.select("id", "cluster", F.posexplode("v").alias("pos", "x"))
-
-
 @query(f"{EDGES} SELECT e.i, e.j, CAST(row_number() OVER (PARTITION BY e.i ORDER BY e.j) AS INTEGER) AS nth FROM e")
 def sorted_rows(spark, d):
     """Entries of each sparse row numbered by column."""

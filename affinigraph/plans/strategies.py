@@ -7,39 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import buckets, clustering, eigen, graph, landmarks, metrics
-from ..sources import datagen, points
+from ..sources import points
 from ..sources.store import new_path, settle
 from . import pipelines
 from .catalogue import DIGEST, EMBED_K, LEAD, LEVELS, LM_SIGMA, SIGMA, SIGS, P, bucket_near, digest, embeddings, near, query, r6, signed
 
-# Two published fixtures of numeric rows.
-NINE = [
-    [-0.1, -2.0, -6.2, -1.2, -3.0, -5.9], [0.1, 2.2, 6.1, 1.2, 3.2, 6.1], [-0.05, -2.1, -6.4, -1.5, -2.5, -6.2], [0.1, 1.9, 6.4, 1.1, 2.9, 6.1],
-    [10.2, 20.0, 16.0, 11.0, 23.0, 9.0], [10.1, 24.0, 16.2, 11.5, 24.0, 9.3], [9.4, 23.5, 16.5, 11.2, 22.0, 9.2], [9.8, 21.1, 16.6, 12.0, 23.0, 9.7], [11.1, 24.6, 17.0, 11.5, 22.1, 9.0],
-]
-PSEUDO = [
-    [0.22927538045041368, 0.15741606830001126, 1.0369713094108526, 0.5886610469170037],
-    [0.3697461267120109, 0.23742639663845277, 0.23721559687890895, 0.9374812027962753],
-    [0.4523873822861232, 0.33848311339230136, 0.9325780980110324, 0.56344690917107],
-    [0.3253983810338372, 0.18084496120864135, 0.23457784311942967, 0.9079376841285469],
-    [0.4762152048670849, 0.3393761589060125, 1.0010751673490832, 0.6829956713214204],
-    [0.32423838595647714, 0.17526677898784962, 0.9753434645980651, 0.6570084462077806],
-    [0.41176592669032097, 0.10208411586193863, 0.9103247069654858, 0.6532638214036393],
-    [0.3041785167695024, 0.23210008647195668, 0.20134230709923703, 0.9777378733882757],
-    [0.34409839385592483, 0.11311395349498107, 0.9913566531874733, 0.5699905192967161],
-    [0.3117268920773114, 0.14185131241600005, 0.3337013501174388, 0.9913442419735675],
-    [0.33554994971096114, 0.0426881343209959, 1.010578292321262, 0.635855385641787],
-    [0.25372325067404344, 0.10135807330398297, 1.0041768203887238, 0.5643310301707342],
-    [0.42289518089230643, 0.28173799513023373, 0.8915905317871955, 0.7284811180361569],
-    [0.2639435317781582, 0.001755012700227973, 0.9932990179374198, 0.5733051594961326],
-    [0.28048084269231177, 0.10522691355596442, 0.9386244232405966, 0.565799904541291],
-    [0.4132008566365232, 0.13394444369600417, 0.2687729966349543, 0.9165352747323251],
-]
-# The groups that the rows of each form.
-NINE_GROUPS = [[0, 2], [1, 3], [4, 5, 6, 7, 8]]
-PSEUDO_GROUPS = [[1, 3, 7, 9, 15], [0, 2, 4, 5, 6, 8, 10, 11, 12, 13, 14]]
-
-
 @query()
 def landmark_embed(spark, d):
     return landmarks.landmark_embedding(embeddings(spark, d), EMBED_K, F.col("id") % 50 == 0, LM_SIGMA)
@@ -84,49 +56,6 @@ def kmeans_cluster(spark, d):
 
 # What SQL can check
 
-
-def pairs_sql(groups: list[list[int]]) -> str:
-    """Every two rows of a group."""
-    rows = ", ".join(f"({i}, {k})" for k, g in enumerate(groups) for i in g)
-    return f"WITH g(id, k) AS (VALUES {rows}) SELECT CAST(a.id AS BIGINT) AS i, CAST(b.id AS BIGINT) AS j FROM g a JOIN g b ON a.k = b.k AND a.id < b.id"
-
-
-def pairs_of(assigned: DataFrame) -> DataFrame:
-    a, b = assigned.select("cluster", F.col("id").alias("i")), assigned.select("cluster", F.col("id").alias("j"))
-    return a.join(b, "cluster").where("i < j").select("i", "j")
-
-
-@query(pairs_sql(NINE_GROUPS))
-def knn_nine(spark, d):
-    return pairs_of(clustering.KnnGraphClustering(k=3, sparsity=0.4, n=9).fit(points.from_rows(spark, NINE)).predict_all())
-
-
-@query(pairs_sql(NINE_GROUPS))
-def lsh_nine(spark, d):
-    return pairs_of(clustering.LshGraphClustering(k=3, sigma=3.0, share=0.6, power=1).fit(points.from_rows(spark, NINE)).predict_all())
-
-
-def by_landmarks(spark, rows: list[list[float]], k: int, sigma: float, marks: list[int]) -> DataFrame:
-    """Clusters of the normalised landmark embedding with given landmarks."""
-    p = points.from_rows(spark, rows)
-
-    class Given(clustering.LandmarkGraphClustering):
-        def rows(self, points: DataFrame) -> DataFrame:
-            return landmarks.landmark_embedding(points, k, F.col("id").isin(marks), self.sigma, self.power)
-
-    return Given(k=k, sigma=sigma).fit(p).predict_all()
-
-
-@query(pairs_sql(PSEUDO_GROUPS))
-def landmark_pseudo(spark, d):
-    return pairs_of(by_landmarks(spark, PSEUDO, 2, 0.1, list(range(8))))
-
-
-@query(pairs_sql(NINE_GROUPS))
-def landmark_nine(spark, d):
-    return pairs_of(by_landmarks(spark, NINE, 3, 3.0, [0, 1, 4, 6, 7]))
-
-
 SETTLED = f"SELECT CAST(i AS INTEGER) AS nth, 1.0 AS length, true AS settled FROM range({EMBED_K}) t(i)"
 
 
@@ -162,6 +91,20 @@ def landmark_products(spark, d):
     return g.select("a", "b", (F.round("g", 6) + F.lit(0.0)).alias("g"))
 
 
+@query(f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS g FROM range({EMBED_K}) x(a), range({EMBED_K}) y(b)")
+def landmark_by_products(spark, d):
+    """The embedding of landmarks that stay rows of a table spans what the dense solution spans: of the products of the columns
+    of both, the products with each other are those of a rotation."""
+    p, marks = settle(embeddings(spark, d)), F.col("id") % 20 == 0
+    one = landmarks.landmark_embedding(p, EMBED_K, marks, LM_SIGMA)
+    two = landmarks.landmark_embedding(p, EMBED_K, marks, LM_SIGMA, most=p.where(marks).count() // 2)
+    one, two = (settle(e.select("id", F.posexplode("e").alias(c, x))) for e, c, x in ((one, "c", "x"), (two, "a", "y")))
+    across = settle(one.join(two, "id").groupBy("c", "a").agg(F.sum(F.col("x") * F.col("y")).alias("g")))
+    other = across.select("c", F.col("a").alias("b"), F.col("g").alias("h"))
+    g = across.join(other, "c").groupBy("a", "b").agg(F.sum(F.col("g") * F.col("h")).alias("g"))
+    return g.select("a", "b", (F.round("g", 4) + F.lit(0.0)).alias("g"))
+
+
 @query(f"{P} SELECT id, 1.0 AS knn, 1.0 AS lsh, 1.0 AS landmark FROM p")
 def embedded_lengths(spark, d):
     """Every point has a row of length 1 in each strategy's embedding (or ones, where its row is zero)."""
@@ -196,27 +139,18 @@ def predict_agrees(spark, d):
     return found.select("id", (F.col("own") == F.col("cluster")).alias("same"), F.size("e").alias("width"))
 
 
-@query("SELECT * FROM (VALUES ('kmeans', 240, 3, 80, true), ('knn', 240, 3, 80, true), ('landmark', 240, 3, 80, true), ('lsh', 240, 3, 80, true)) t(strategy, n, clusters, largest, tight)")
-def generated_pipelines(spark, d):
-    """The command-line pipelines, from a file of three generated heaps of 80 points each."""
+@query(f"{P} SELECT count(*) AS n, count(DISTINCT v) AS points, 10 AS clusters, true AS agrees FROM p")
+def pipeline_report(spark, d):
+    """The k-means command over a file of all vectors: the cost of its centres is that of its clusters, or a little more."""
     path = new_path(spark, "csv")
-    heaps = spark.range(240).select((F.col("id") % 3).alias("k"), *(((F.col("id") % 3 == c).cast("double") + F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 1e5).alias(f"c{c}") for c in range(4)))
-    points.write_csv_vectors(heaps.select(F.array(*(f"c{c}" for c in range(4))).alias("v")), path)
-    runs = {
-        "kmeans": pipelines.run_kmeans(spark, path, 2, 3), "knn": pipelines.run_knn_graph(spark, path, 2, 0.2, 3),
-        "lsh": pipelines.run_lsh(spark, path, 2, 1.0, 3, 0.2), "landmark": pipelines.run_landmark(spark, path, 2, 0.3, 0.2, 3),
-    }
-    rows = [(k, sum(r["sizes"].values()), len(r["sizes"]), max(r["sizes"].values()), r["wssse"] < 0.1) for k, r in runs.items()]
-    return spark.createDataFrame(rows, "strategy string, n int, clusters int, largest int, tight boolean")
-
-
-@query("SELECT 2000 AS n, 8 AS width, true AS inside, true AS near FROM range(1)")
-def generated_points(spark, d):
-    """Every generated point lies in the unit cube, within the scatter above its centre."""
-    g = datagen.clustered_points(spark, 2000, 8, 5, 0.02).join(datagen.centres(spark, 5, 8).withColumnRenamed("v", "c"), "cluster")
-    off = F.zip_with("v", "c", lambda x, y: (x - y >= 0) & (x - y < 0.02) | (x == 1) | (x == 0))
-    inside = F.forall("v", lambda x: (x >= 0) & (x <= 1))
-    return g.agg(F.count("*").cast("int").alias("n"), F.max(F.size("v")).alias("width"), F.min(inside).alias("inside"), F.min(F.forall(off, lambda x: x)).alias("near"))
+    p = embeddings(spark, d)
+    points.write_csv_vectors(p, path)
+    r = pipelines.run_kmeans(spark, path, 8, 10)
+    centres = spark.createDataFrame(list(enumerate(r["centers"])), "cluster int, c array<double>")
+    cost = metrics.cost(points.distinct_vectors(p), centres)
+    agrees = F.lit(r["wssse"]) <= F.col("cost") * (1 + 1e-9)
+    report = cost.select(F.lit(sum(r["sizes"].values())).cast("long").alias("points"), F.lit(len(r["sizes"])).alias("clusters"), (agrees & (F.col("cost") < 1.1 * r["wssse"])).alias("agrees"))
+    return p.agg(F.count("*").alias("n")).crossJoin(report)  # one row each
 
 
 @query(f"{P} SELECT {DIGEST.format(v='v')} AS digest, CAST(len(v) AS INTEGER) AS width FROM p")

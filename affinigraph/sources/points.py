@@ -66,7 +66,8 @@ def dense_index(points: DataFrame, order: str = "id") -> DataFrame:
 
 def width_of(points: DataFrame) -> int:
     """Width of the vectors; unequal widths are an error."""
-    r = points.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
+    width = F.col("v.size") if dict(points.dtypes)["v"].startswith("struct") else F.size("v")
+    r = points.agg(F.min(width).alias("a"), F.max(width).alias("b")).first()
     if r.a is None:
         raise ValueError("no points")
     if r.a != r.b:

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ _PACKAGE = Path(__file__).resolve().parent.parent
 _temporary: list[str] = []
 _shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
+_path_of: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -76,9 +78,19 @@ def clean_up(spark: SparkSession) -> None:
         drop_path(spark, path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, checkpointed in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read from there: lineage ends, and a lost executor costs nothing."""
+    ship(df.sparkSession)
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads, as those of past rounds."""
+    for t in tables:
+        path = _path_of.pop(t, None)
+        if path:
+            drop_path(t.sparkSession, path)

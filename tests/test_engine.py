@@ -10,10 +10,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from affinigraph.functions import vectors as fv
-from affinigraph.operators import buckets, clustering, eigen, graph, landmarks, metrics, neighbours
+from affinigraph.operators import bounds, buckets, clustering, eigen, graph, landmarks, metrics, neighbours, sparse
 from affinigraph.plans import catalogue, pipelines
-from affinigraph.plans.strategies import NINE
-from affinigraph.sources import datagen, points
+from affinigraph.sources import datagen, points, store
+
+from fixtures import NINE, NINE_GROUPS, PSEUDO, PSEUDO_GROUPS
 
 # A published fixture of numeric rows.
 SINGLE = [
@@ -175,15 +176,142 @@ def test_eigen_of_close_values(spark):
     assert np.abs(e @ e.T - want @ want.T).max() < 0.05
 
 
-def test_landmark_limit(spark):
-    """More landmarks than are solved: the least hashes serve, or a smaller share is drawn, and no point is lost."""
+def test_landmarks_by_products(spark):
+    """More landmarks than one place holds: the same span as the dense solution, and orthonormal columns."""
+    x = np.random.default_rng(4).normal(size=(150, 16))
+    p, marks = points.from_rows(spark, x.tolist()).cache(), F.col("id") % 6 == 0
+    one, two = (np.array([r.e for r in landmarks.landmark_embedding(p, 3, marks, 2.0, most=most).orderBy("id").collect()]) for most in (100, 10))
+    assert one.shape == two.shape == (150, 3)
+    np.testing.assert_allclose(two.T @ two, np.eye(3), atol=1e-9)
+    np.testing.assert_allclose(one @ one.T, two @ two.T, atol=1e-4)
+
+
+def test_kernel_products(spark):
+    """Sums of affinities times columns, over several blocks of either side, and the solution of the landmarks' system."""
+    rng = np.random.default_rng(6)
+    x, y, z = rng.normal(size=(40, 3)), rng.normal(size=(30, 3)), rng.normal(size=(30, 2))
+    kernel = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(2) / 0.5)
+    asked = points.from_rows(spark, x.tolist())
+    given = spark.createDataFrame([(i, v.tolist(), w.tolist()) for i, (v, w) in enumerate(zip(y, z, strict=True))], "id long, v array<double>, x array<double>")
+    got = landmarks.kernel_times(asked, given, 2, 0.5, 1, (3, 2)).orderBy("id").collect()
+    np.testing.assert_allclose([r.y for r in got], kernel(x, y) @ z, atol=1e-12)
+    b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(z[:, 0])], "id long, b double")
+    marks = given.select("id", "v")
+    w = landmarks.solve_kernel(marks, b, 0.2, 1, 2).orderBy("id").collect()
+    near = np.exp(-((y[:, None] - y[None]) ** 2).sum(2) / 0.08)
+    np.testing.assert_allclose([r.w for r in w], np.linalg.solve(near, z[:, 0]), atol=1e-6)
+    with pytest.raises(RuntimeError, match="residual"):
+        landmarks.solve_kernel(marks, b, 5.0, 1, 2, rounds=2)
+
+
+def test_bounds_agree_with_blocks(spark):
+    """Heaps, equal points, grid points with ties, more neighbours than a ball holds, and few points."""
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(c, 0.05, (60, 4)) for c in (0.0, 1.0, 2.0)])
-    p = points.from_rows(spark, x.tolist())
-    assert landmarks.landmark_embedding(p, 3, F.col("id") % 2 == 0, 0.5, most=20).count() == 180
-    with pytest.warns(UserWarning, match="landmarks"):
-        model = clustering.LandmarkGraphClustering(k=3, share=0.5, sigma=0.5, most=30).fit(p)
-    assert grouping(model.predict_all()) == [list(range(a, a + 60)) for a in (0, 60, 120)]
+    x = np.concatenate([np.repeat(rng.normal(size=(8, 3)) * 9, 60, 0) + rng.normal(size=(480, 3)) * 0.3, np.ones((60, 3)), rng.integers(0, 3, (60, 3))])
+    p = points.from_rows(spark, x.tolist()).cache()
+    for t, pivots in ((5, None), (70, 40)):
+        found, share = bounds.candidates(p, t, pivots, part=50)
+        assert {tuple(r) for r in neighbours.first_per_row(found, t).collect()} == {tuple(r) for r in neighbours.neighbours(p, t).collect()}
+        assert share < 0.4
+    few = p.where("id < 3")
+    assert bounds.neighbours_by_bounds(few, 9).count() == 9
+    with pytest.raises(ValueError):
+        bounds.neighbours_by_bounds(p, 0)
+
+
+def sparse_rows(rng, n, width, share):
+    return np.where(rng.random((n, width)) < share, rng.normal(size=(n, width)).round(2), 0.0)
+
+
+def test_sparse_points(spark):
+    """Sparse points against the same points filled up: distances, neighbours in one and many blocks, the graph strategy."""
+    rng = np.random.default_rng(8)
+    x = sparse_rows(rng, 90, 200, 0.03)
+    x[:, 7] = rng.normal(size=90)  # a feature that all have
+    x[3], x[4], x[5] = 0, x[2], x[2] * (1 + 1e-9)
+    full = points.from_rows(spark, x.tolist()).cache()
+    thin = full.select("id", sparse.sparse(F.col("v")).alias("v")).cache()
+    assert sparse.is_sparse(thin) and not sparse.is_sparse(full)
+    assert [r.v for r in thin.select("id", sparse.dense(F.col("v")).alias("v")).orderBy("id").collect()] == x.tolist()
+    rows = sparse.Rows.of(thin.orderBy("id").select("v").toArrow().column("v"))
+    np.testing.assert_allclose(sparse.squared_distances(rows, rows), ((x[:, None] - x[None]) ** 2).sum(2), rtol=1e-6, atol=1e-15)
+    want = {(r.i, r.j, r.rank) for r in neighbours.neighbours(full, 6).collect()}
+    for block in (16_384, 128):
+        assert {(r.i, r.j, r.rank) for r in neighbours.neighbours(thin, 6, block).collect()} == want
+    heaps = np.zeros((30, 50))
+    for i in range(30):
+        heaps[i, 10 * (i % 3) : 10 * (i % 3) + 5] = 1 + rng.random(5) / 10
+    heaps = points.from_rows(spark, heaps.tolist()).select("id", sparse.sparse(F.col("v")).alias("v"))
+    model = clustering.KnnGraphClustering(k=3, sparsity=0.2).fit(heaps)
+    assert grouping(model.predict_all()) == [list(range(k, 30, 3)) for k in range(3)]
+    with pytest.raises(ValueError, match="between"):
+        neighbours.neighbours(thin.where("id < 3").unionByName(thin.where("id = 4").select("id", F.struct(F.lit(7).alias("size"), "v.indices", "v.values").cast(sparse.SPARSE).alias("v"))), 2)
+
+
+def test_sparse_file(spark, tmp_path):
+    path = str(tmp_path / "a.txt")
+    (tmp_path / "a.txt").write_text("1 1:0.5 3:-2\n0\n\n-1   2:1e3 \n")
+    got = {r.label: (r.v.size, r.v.indices, r.v["values"]) for r in sparse.read_sparse(spark, path).collect()}
+    assert got == {1.0: (3, [0, 2], [0.5, -2.0]), 0.0: (3, [], []), -1.0: (3, [1], [1000.0])}
+    assert sparse.read_sparse(spark, path, 9).first().v.size == 9
+    (tmp_path / "a.txt").write_text("1 3:1 2:1\n")
+    with pytest.raises(Exception, match="rise"):
+        sparse.read_sparse(spark, path).collect()
+
+
+def test_clean_up_leaves_nothing(spark):
+    """Settled tables are deleted too, and a loop keeps those of its last rounds only."""
+    t = store.settle(spark.range(5).withColumn("x", F.col("id") * 2))
+    path, u = store._path_of[t], store.settle(spark.range(3))
+    there = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))
+    assert there(path) and t.count() == 5
+    gone = store._path_of[u]
+    store.forget(u)
+    assert not there(gone)
+    store.clean_up(spark)
+    assert not there(path) and store._made[spark.sparkContext.applicationId] == []
+
+
+def test_published_partitions(spark, nine):
+    """The groups that the rows of the fixtures form, by each strategy."""
+    assert grouping(clustering.KnnGraphClustering(k=3, sparsity=0.4, n=9).fit(nine).predict_all()) == NINE_GROUPS
+    assert grouping(clustering.KnnGraphClustering(k=3, sparsity=0.4, n=9, search="bounds").fit(nine).predict_all()) == NINE_GROUPS
+    assert grouping(clustering.LshGraphClustering(k=3, sigma=3.0, share=0.6, power=1).fit(nine).predict_all()) == NINE_GROUPS
+    for rows, k, sigma, marks, groups in ((PSEUDO, 2, 0.1, list(range(8)), PSEUDO_GROUPS), (NINE, 3, 3.0, [0, 1, 4, 6, 7], NINE_GROUPS)):
+
+        class Given(clustering.LandmarkGraphClustering):
+            def rows(self, p):
+                return landmarks.landmark_embedding(p, k, F.col("id").isin(marks), self.sigma, self.power)  # noqa: B023
+
+        assert grouping(Given(k=k, sigma=sigma).fit(points.from_rows(spark, rows)).predict_all()) == sorted(groups)
+
+
+def test_runs_keep_the_cheapest(spark):
+    """Several starts of k-means: no dearer than each of them."""
+    p = points.from_rows(spark, np.random.default_rng(9).normal(size=(120, 2)).tolist()).cache()
+
+    def cost(runs, seed):
+        model = clustering.PlainKMeans(k=7, runs=runs, seed=seed, max_iter=5, init_mode="random").fit(p)
+        return metrics.cost(p, spark.createDataFrame(list(enumerate(model.centers)), "cluster int, c array<double>")).first().cost
+
+    assert cost(3, 1) <= min(cost(1, s) for s in (1, 2, 3)) * (1 + 1e-9)
+
+
+def test_generated_points(spark, tmp_path):
+    """Slices, points within the scatter above their centres, and the command-line pipelines on a file of three heaps."""
+    got = [tuple(r) for r in datagen.slices(spark, 1003, 8).orderBy("part").collect()]
+    assert got == [(i, i * 126 if i < 3 else i * 125 + 3, (i + 1) * 126 if i < 3 else (i + 1) * 125 + 3) for i in range(8)]
+    g = datagen.clustered_points(spark, 2000, 8, 5, 0.02).join(datagen.centres(spark, 5, 8).withColumnRenamed("v", "c"), "cluster").collect()
+    v, c = np.array([r.v for r in g]), np.array([r.c for r in g])
+    assert v.shape == (2000, 8) and (v >= 0).all() and (v <= 1).all() and (((v - c >= 0) & (v - c < 0.02)) | (v == 1) | (v == 0)).all()
+    heaps = [[float(i % 3 == c) + i * c / 1e5 for c in range(4)] for i in range(240)]
+    path = str(tmp_path / "heaps")
+    points.write_csv_vectors(points.from_rows(spark, heaps), path)
+    for r in (
+        pipelines.run_kmeans(spark, path, 2, 3), pipelines.run_knn_graph(spark, path, 2, 0.2, 3), pipelines.run_lsh(spark, path, 2, 1.0, 3, 0.2),
+        pipelines.run_landmark(spark, path, 2, 0.3, 0.2, 3),
+    ):
+        assert sorted(r["sizes"].values()) == [80, 80, 80] and r["wssse"] < 0.1
 
 
 def test_distances_keep_their_digits():
