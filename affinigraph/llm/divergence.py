@@ -46,30 +46,30 @@ def audit(
     Ties go to the smaller item by UTF-8 bytes. An empty table has no groups. Other columns are ignored.
     """
     d = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((text, "text"), (lang, "lang"), (source, "source"))))
-    counts = materialize(term_counts(d, "text", "lang", "source", pattern), "term_counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    kept = materialize(kept, "kept_terms")
+    counts = term_counts(d, "text", "lang", "source", pattern)
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))
+    kept = kept.where(F.col("docs") >= min_docs).select(F.monotonically_increasing_id().alias("t"), "lang", "term", "n", F.map_from_entries("held").alias("held"))
+    kept = materialize(kept, "kept_terms")  # t is a number for language and term
     sizes = materialize(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("total")), "languages")
-    used = counts.join(kept.select("lang", "term"), ["lang", "term"])
-    totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    here = kept.select("lang", "term", "n", F.explode("held").alias("source", "own"))
+    totals = here.groupBy("lang", "source").agg(F.sum("own").alias("total"))
     groups = d.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes.select("lang", "kept"), "lang", "left")
-    groups = materialize(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept")), "groups")
+    groups = groups.select(F.monotonically_increasing_id().alias("g"), "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
+    groups = materialize(groups, "groups")  # g is a number for language and source
 
     few = is_small(groups)
-    spread = joined_by(kept.select("lang", "term"), groups, ["lang"], F.col("term"), small=few)
-    dense = spread.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    dense = materialize(dense.select("lang", "source", "term", share("n", "total", "kept").alias("p")), "shares")
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    apart = dense.join(other, ["lang", "term"]).where(F.col("source") != F.col("item"))
-    apart = apart.groupBy("lang", "source", "item").agg(F.sum(F.expr(GAIN)).alias("value"))
-    own = groups.select("lang", "source")
-    pairs = own.join(own.withColumnRenamed("source", "item"), "lang").where(F.col("source") != F.col("item"))
-    pairs = pairs.join(apart, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-
-    whole = joined_by(kept, sizes, ["lang"], F.col("term"), small=few).select("lang", "term", share("n", "total", "kept").alias("q"))
-    here = joined_by(counts.select("lang", "source", "term", "n"), groups, ["lang", "source"], F.col("term"), small=few)
-    told = here.join(whole, ["lang", "term"]).select("lang", "source", F.col("term").alias("item"), share("n", "total", "kept").alias("p"), "q")
-    told = told.where(F.col("p") > F.col("q")).select("lang", "source", "item", F.expr(GAIN).alias("value"))
+    spread = joined_by(kept.select("t", "lang", "held"), groups, ["lang"], F.col("t"), small=few)
+    spread = spread.withColumn("own", F.coalesce(F.element_at("held", F.col("source")), F.lit(0).cast("long")))
+    dense = materialize(spread.select("t", "g", share("own", "total", "kept").alias("p")), "shares")
+    apart = dense.join(dense.select("t", F.col("g").alias("h"), F.col("p").alias("q")), "t").where(F.col("g") != F.col("h"))
+    apart = apart.groupBy("g", "h").agg(F.sum(F.expr(GAIN)).alias("value"))
+    own = groups.select("g", "lang", "source")
+    pairs = own.join(own.select(F.col("g").alias("h"), "lang", F.col("source").alias("item")), "lang").where(F.col("g") != F.col("h"))
+    pairs = pairs.join(apart, ["g", "h"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+    told = joined_by(here, groups.drop("g"), ["lang", "source"], F.col("term"), small=few).withColumn("p", share("own", "total", "kept")).drop("total")
+    told = joined_by(told, sizes.select("lang", "total"), ["lang"], F.col("term"), small=few).withColumn("q", share("n", "total", "kept"))
+    told = told.where(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), F.expr(GAIN).alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
