@@ -396,6 +396,31 @@ def test_privacy_terms_against_plain_counts(spark):
     assert any(k == "term" for spans in want.values() for k, *_ in spans)
 
 
+def test_privacy_of_entities_on_one_line(spark):
+    from affinigraph.llm.privacy import joined, sanitise
+
+    rng = random.Random(8)
+    group = ["a.bo@mail1.org", "bo@mail1.org", "cy@mail2.net"]
+    rows = [f"staff {' '.join(group)} of bo and cy at mail1 quixwort, org {k} {words(rng, 4, 12)}" for k in range(4)]
+    rows += [f"{words(rng, 5, 12)} di@x.de with {rng.choice(group) if k % 2 else 'nobody'} bo zzyzx{k % 3}" for k in range(6)]
+    rows += [words(rng, 8, 12) + f" {k}" for k in range(150)] + [rows[0] + "\n" + rows[5], "mail1 alone", "é😀 bo@mail1.org"]
+    want, telling = told(rows)
+    got = sanitise(table(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()
+    for r in got:
+        assert [(s.kind, s.start, s.end) for s in r.spans] == want[r.text], r.doc_id
+        plain, at = [], 0
+        for kind, a, b in sorted(want[r.text], key=lambda x: x[1]):
+            plain += [r.text[at:a], f"[{kind.upper()}]"]
+            at = b
+        assert r.clean_text == "".join(plain) + r.text[at:]
+    assert len(telling) > 20
+
+    # one text with 50,000 addresses in lines of 1,000, each line with as many other words; some 30 s on four threads
+    many = "\n".join(" ".join(f"é word{a}x{k} u{a}.{k}@h{k % 7}.org" for k in range(1000)) for a in range(50))
+    (r,) = sanitise(table(spark, [(1, many, "en", "s")])).select(joined("base").alias("b"), "clean_text").collect()
+    assert r.b == ",".join(base_spans(many)) and r.clean_text.count("[EMAIL]") == 50_000 and "@" not in r.clean_text
+
+
 # 9
 
 
