@@ -415,7 +415,7 @@ def test_privacy_of_entities_on_one_line(spark):
         assert r.clean_text == "".join(plain) + r.text[at:]
     assert len(telling) > 20
 
-    # one text with 50,000 addresses in lines of 1,000, each line with as many other words; some 30 s on four threads
+    # one text with 50,000 addresses in lines of 1,000, each line with as many other words; some 40 s on four threads
     many = "\n".join(" ".join(f"é word{a}x{k} u{a}.{k}@h{k % 7}.org" for k in range(1000)) for a in range(50))
     (r,) = sanitise(table(spark, [(1, many, "en", "s")])).select(joined("base").alias("b"), "clean_text").collect()
     assert r.b == ",".join(base_spans(many)) and r.clean_text.count("[EMAIL]") == 50_000 and "@" not in r.clean_text
