@@ -164,7 +164,43 @@ def test_eigen_tiers(spark):
 def test_eigen_unconverged(spark):
     edges = spark.createDataFrame([(i, i, 1.0 + i / 100) for i in range(40)], "i long, j long, w double")
     with pytest.raises(RuntimeError, match="still"):
-        eigen.spectral_rows(edges, 3, dense=10, rounds=3)
+        eigen.distributed_rows(edges, 3, rounds=3)
+
+
+def test_components(spark):
+    from affinigraph.operators.components import components
+
+    rng = np.random.default_rng(4)
+    n = 300
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, size=(140, 2))] + [(k, k + 1) for k in range(400, 440)] + [(900, 900), (7, None), (None, None)]
+    pairs += [(500, 501 + k) for k in range(60)] + pairs[:5]
+    least = {x: x for p in pairs if None not in p for x in p}
+    for _ in range(n):
+        for a, b in (p for p in pairs if None not in p):
+            least[a] = least[b] = min(least[a], least[b])
+    got = components(spark.createDataFrame(pairs, "i long, j long"))
+    assert {r.id: r.component for r in got.collect()} == least and got.count() == len(least)
+    assert components(spark.createDataFrame([], "i long, j long")).count() == 0
+
+
+def test_eigen_by_component(spark):
+    rng = np.random.default_rng(5)
+    sizes, at, m = (40, 9, 7, 1, 8), 0, np.zeros((65, 65))
+    for n in sizes:
+        x = rng.normal(size=(n, n)) + np.diag(np.arange(n, 0, -1.0)) * (20 / n)
+        m[at : at + n, at : at + n] = (x + x.T) / 2
+        at += n
+    i, j = np.nonzero(m)
+    edges = spark.createDataFrame([(int(a), int(b), float(m[a, b])) for a, b in zip(i, j, strict=True)], "i long, j long, w double")
+    values, want = eigen.leading(m, 6)
+    blocks = {int(np.searchsorted(np.cumsum(sizes), np.argmax(np.abs(want[:, c])), "right")) for c in range(6)}
+    assert 0 in blocks and len(blocks) > 1  # the large component and small ones both have leading pairs
+    for dense in (10, 50):
+        rows = eigen.spectral_rows(edges, 6, dense=dense).orderBy("id").collect()
+        e = np.array([r.e for r in rows])
+        assert [r.id for r in rows] == list(range(65))
+        np.testing.assert_allclose(e @ e.T, want @ want.T, atol=1e-3)
+        np.testing.assert_allclose(sorted(np.diag(e.T @ m @ e)), sorted(values), rtol=1e-5)
 
 
 def test_eigen_of_close_values(spark):
