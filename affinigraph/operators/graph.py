@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import self_tuning_kernel, width_kernel
+from .lookup import at_both_ends
 
 
 def both_ways(near: DataFrame) -> DataFrame:
@@ -22,13 +23,6 @@ def mean_distances(near: DataFrame) -> DataFrame:
     return both_ways(near).groupBy("i").agg(F.avg("d").alias("mean"))
 
 
-def at_both_ends(edges: DataFrame, stats: DataFrame, value: str) -> DataFrame:
-    """Adds the statistic of each end as ``value_i`` and ``value_j``."""
-    i = stats.select("i", F.col(value).alias(f"{value}_i"))
-    j = stats.select(F.col("i").alias("j"), F.col(value).alias(f"{value}_j"))
-    return edges.join(i, "i").join(j, "j")
-
-
 def self_tuned_affinity(near: DataFrame, power: int = 2) -> DataFrame:
     e = at_both_ends(symmetric_edges(near), mean_distances(near), "mean")
     return e.select("i", "j", self_tuning_kernel(F.col("d"), F.col("mean_i"), F.col("mean_j"), power).alias("s"))

@@ -14,6 +14,7 @@ from ..functions.blocks import matrix, nearest
 from ..functions.vectors import squared_distance
 from ..sources.points import width_of
 from ..sources.store import settle, ship
+from .lookup import looked_up
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
@@ -28,9 +29,10 @@ def centroids(assigned: DataFrame, width: int | None = None) -> DataFrame:
 
 
 def dispersion(assigned: DataFrame, width: int | None = None, centres: DataFrame | None = None) -> DataFrame:
-    """(cluster, n, total, mean): squared distances of the points to their centroid, or to given ``centres``."""
+    """(cluster, n, total, mean): squared distances of the points to their centroid, or to given, settled ``centres``."""
     width = width or width_of(assigned)
-    near = assigned.join(centroids(assigned, width) if centres is None else centres, "cluster")
+    centres = settle(centroids(assigned, width)) if centres is None else centres
+    near = looked_up(assigned, centres, "cluster", F.col("id"), salts=16)
     d = squared_distance("v", "c", width)
     return near.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(d).alias("total"), F.avg(d).alias("mean"))
 

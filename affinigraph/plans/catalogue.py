@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as fv
-from ..operators import bounds, buckets, clustering, graph, landmarks, metrics, neighbours, sparse
+from ..operators import bounds, buckets, clustering, components, graph, landmarks, metrics, neighbours, sparse
 from ..sources import points
 from ..sources.store import settle
 
@@ -207,6 +207,12 @@ def sym_edges(spark, d):
     return rounded(graph.symmetric_edges(near(spark, d)), "d")
 
 
+@query(f"""{KNN}, l AS (SELECT i, j FROM k WHERE rank <= 2 UNION SELECT j, i FROM k WHERE rank <= 2),
+    r AS (SELECT i, i AS c FROM l UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.c) SELECT i AS id, min(c) AS component FROM r GROUP BY i""")
+def graph_components(spark, d):
+    return components.components(near(spark, d).where("rank <= 2"))
+
+
 @query(f"{EDGES} SELECT i, round(mean, 6) AS mean FROM m")
 def row_avg_dist(spark, d):
     return rounded(graph.mean_distances(near(spark, d)), "mean")

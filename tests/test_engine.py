@@ -183,6 +183,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "i long, j long")).count() == 0
 
 
+def test_lookup_of_small_and_large_tables(spark):
+    from affinigraph.operators.lookup import at_both_ends
+
+    edges = spark.createDataFrame([(0, k, 1.0) for k in range(300)] + [(k, 0, 2.0) for k in range(300)], "i long, j long, s double")
+    stats = spark.createDataFrame([(k, k / 2) for k in range(300)], "i long, root double")
+    small, large = at_both_ends(edges, stats, "root"), at_both_ends(edges, stats, "root", sent=0)
+    want = sorted((r.i, r.j, r.s, r.i / 2, r.j / 2) for r in edges.collect())
+    for out in (small, large):
+        assert sorted(map(tuple, out.select("i", "j", "s", "root_i", "root_j").collect())) == want
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan(small) and "salt_" in plan(large)
+    assert at_both_ends(edges.where("s < 0"), stats.where("i < 0"), "root").count() == 0
+
+
 def test_eigen_by_component(spark):
     rng = np.random.default_rng(5)
     sizes, at, m = (40, 9, 7, 1, 8), 0, np.zeros((65, 65))
