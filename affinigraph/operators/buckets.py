@@ -3,23 +3,39 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import matrix
 from ..functions.vectors import bin_of, java_doubles, signature
 from ..sources.points import dense_index, width_of
-from ..sources.store import settle
+from ..sources.store import settle, ship
 
 BINS = 20
 
 
 def column_stats(points: DataFrame, width: int | None = None) -> DataFrame:
-    """(pos, low, high): one pass with two aggregates for each feature, then one row for each."""
+    """(pos, low, high): a task reduces its vectors, of any width, to one row for each feature. NaN counts as the largest
+    value, as in SQL; no points give no rows."""
+    ship(points.sparkSession)
     width = width or width_of(points)
-    wide = points.agg(*(f(F.col("v")[c]).alias(f"{n}{c}") for c in range(width) for n, f in (("a", F.min), ("b", F.max))))
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("pos"), F.col(f"a{c}").alias("low"), F.col(f"b{c}").alias("high")) for c in range(width)))).alias("x")).select("x.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(width, np.nan), np.full(width, -np.inf)
+        seen = False
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(0), b.num_rows)
+                low, high, seen = np.fmin(low, np.fmin.reduce(x)), np.maximum(high, x.max(axis=0)), True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(low), pa.array(high)], names=["pos", "low", "high"])
+
+    return points.select("v").mapInArrow(run, "pos int, low double, high double").groupBy("pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def span_shares(stats: DataFrame) -> DataFrame:

@@ -197,6 +197,16 @@ def test_lookup_of_small_and_large_tables(spark):
     assert at_both_ends(edges.where("s < 0"), stats.where("i < 0"), "root").count() == 0
 
 
+def test_column_stats_of_wide_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(40, 4096))
+    x[3, 5] = np.nan
+    p = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {r.pos: (r.low, r.high) for r in buckets.column_stats(p).collect()}
+    assert len(got) == 4096 and np.isnan(got[5][1]) and got[5][0] == np.nanmin(x[:, 5])
+    assert all(got[c] == (x[:, c].min(), x[:, c].max()) for c in range(4096) if c != 5)
+    assert buckets.column_stats(p.where("id < 0"), 4096).count() == 0
+
+
 def test_eigen_by_component(spark):
     rng = np.random.default_rng(5)
     sizes, at, m = (40, 9, 7, 1, 8), 0, np.zeros((65, 65))
