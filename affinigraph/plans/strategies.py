@@ -82,6 +82,28 @@ def lsh_spectrum(spark, d):
     return residuals(w, eigen.spectral_rows(w, EMBED_K, block="bucket"))
 
 
+#: Quantities by order and supplier, and the largest eigenvalue of the suppliers' products by 24 rounds of powers, whose share of
+#: other vectors falls by some 2.3 ** 2 a round. The matrix of orders and suppliers has its roots, of both signs.
+POWERS = 24
+HUBS = f"""WITH q AS MATERIALIZED (SELECT l_orderkey AS o, l_suppkey AS s, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+m AS MATERIALIZED (SELECT a.s AS s, b.s AS t, sum(a.w * b.w) AS w FROM q a JOIN q b USING (o) GROUP BY ALL),
+x0 AS MATERIALIZED (SELECT DISTINCT s, 1e0 AS x FROM m),
+{" ".join(f"x{n + 1} AS MATERIALIZED (SELECT m.s, sum(m.w * x.x) / (SELECT sum(w) FROM m) AS x FROM m JOIN x{n} x ON x.s = m.t GROUP BY m.s)," for n in range(POWERS))}
+r AS (SELECT sum(a.x * m.w * b.x) / (SELECT sum(x * x) FROM x{POWERS}) AS value FROM x{POWERS} a JOIN m ON m.s = a.s JOIN x{POWERS} b ON b.s = m.t)
+SELECT CAST(i AS INTEGER) AS nth, round(sqrt(value), 4) AS size, true AS settled FROM r, range(2) t(i)"""
+
+
+@query(HUBS)
+def order_supplier_spectrum(spark, d):
+    """The leading pairs of the matrix of orders and suppliers, which is too large for one place and whose suppliers are hubs."""
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    q = t.groupBy((2 * F.col("l_orderkey")).alias("o"), (2 * F.col("l_suppkey") + 1).alias("s")).agg(F.sum("l_quantity").alias("w"))
+    w = settle(q.select(F.col("o").alias("i"), F.col("s").alias("j"), "w").union(q.select("s", "o", "w")))
+    rows, values = eigen.distributed_pairs(w, 2, tolerance=1e-7)
+    sizes = spark.createDataFrame([(n, round(abs(float(v)), 4)) for n, v in enumerate(values)], "nth int, size double")
+    return sizes.join(residuals(w, rows).select("nth", "settled"), "nth")
+
+
 @query(f"SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS g FROM range({EMBED_K}) x(a), range({EMBED_K}) y(b)")
 def landmark_products(spark, d):
     """Columns of the landmark embedding are orthonormal over all points."""

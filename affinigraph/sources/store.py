@@ -18,6 +18,7 @@ _temporary: list[str] = []
 _shipped: set[str] = set()
 _made: dict[str, list[str]] = {}
 _path_of: WeakKeyDictionary = WeakKeyDictionary()
+_tables: dict[str, str] = {}  # names of bucketed tables by path
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,6 +69,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     made = _made.get(spark.sparkContext.applicationId, [])
     if path in made:
         made.remove(path)
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -88,6 +91,19 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return out
 
 
+def settle_by(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """As settle(), in a table of ``parts`` buckets by ``keys``: the rows move once, and joins on the keys read them where they
+    are, however often they are joined. The keys of a bucket share one task, so a hot key must be salted first."""
+    ship(df.sparkSession)
+    path = new_path(df.sparkSession, "bucketed")
+    name = f"affinigraph_{uuid.uuid4().hex}"
+    _tables[path] = name
+    df.repartition(parts, *keys).write.option("compression", "zstd").option("path", path).bucketBy(parts, *keys).format("parquet").saveAsTable(name)
+    out = df.sparkSession.table(name)
+    _path_of[out] = path
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete settled tables that no later step reads, as those of past rounds."""
     for t in tables:
