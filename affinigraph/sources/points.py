@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from weakref import WeakKeyDictionary
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import parse_line
 from .store import settle
 
+_widths: WeakKeyDictionary = WeakKeyDictionary()  # of tables that checked() wrote
+
 
 def read_csv_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``v`` of each line of comma-separated doubles; a malformed line fails the query."""
@@ -64,22 +70,46 @@ def dense_index(points: DataFrame, order: str = "id") -> DataFrame:
     return local.join(F.broadcast(offsets), "part_").withColumn("idx", F.col("base_") + F.col("n_")).drop("part_", "n_", "base_")  # a row for each range
 
 
-def width_of(points: DataFrame) -> int:
-    """Width of the vectors; unequal widths are an error."""
-    width = F.col("v.size") if dict(points.dtypes)["v"].startswith("struct") else F.size("v")
-    r = points.agg(F.min(width).alias("a"), F.max(width).alias("b")).first()
-    if r.a is None:
+def _width():
+    return F.min("width_").alias("low"), F.max("width_").alias("high")
+
+
+def _with_width(points: DataFrame) -> DataFrame:
+    return points.withColumn("width_", F.col("v.size") if dict(points.dtypes)["v"].startswith("struct") else F.size("v"))
+
+
+def _one_width(low: int | None, high: int | None) -> int:
+    if low is None:
         raise ValueError("no points")
-    if r.a != r.b:
-        raise ValueError(f"vectors have between {r.a} and {r.b} values")
-    return r.a
-
-
-def check_order(points: DataFrame, n: int | None) -> int:
-    """Number of points; a given number must exceed every id."""
-    r = points.agg(F.count("*").alias("n"), F.max("id").alias("top")).first()
-    if n is None or n < 0:
-        return r.n
-    if r.top is not None and r.top >= n:
-        raise ValueError(f"id {r.top} is not below the given number of points {n}; give none to count them")
-    return n
+    if low != high:
+        raise ValueError(f"vectors have between {low} and {high} values")
+    return low
+
+
+def width_of(points: DataFrame) -> int:
+    """Width of the vectors; unequal widths are an error. Points from checked() are not read for it."""
+    if points in _widths:
+        return _widths[points]
+    return _one_width(*_with_width(points).agg(*_width()).first())
+
+
+def checked(points: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
+    """(id, v) written once, and the number of points: ``n`` if it is given, else the rows written. Whatever later steps read, the
+    input is evaluated by this one pass, which also finds what is wrong with it: no points, unequal widths, and an id that is not
+    below a given ``n``, at which the pass ends. Each is a ValueError. Null ids pass."""
+    rows = _with_width(points.select("id", "v"))
+    given = n is not None and n >= 0
+    if given:
+        wrong = F.concat(F.lit("id "), F.col("id").cast("string"), F.lit(f" is not below the given number of points {n}; give none to count them"))
+        rows = rows.withColumn("id", F.when(F.col("id") >= n, F.raise_error(wrong)).otherwise(F.col("id")))
+    seen = Observation()
+    try:
+        kept = settle(rows.observe(seen, *_width()).drop("width_"))
+    except PySparkException as e:
+        found = re.search(r"id -?\d+ is not below the given number of points \d+; give none to count them", str(e))
+        if found is None:
+            raise
+        raise ValueError(found[0]) from e
+    # Smallest and largest width stay right if a task runs again; the number comes from what was written.
+    _widths[kept] = _one_width(seen.get["low"], seen.get["high"])
+    return kept, n if given else kept.count()

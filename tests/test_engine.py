@@ -227,6 +227,65 @@ def test_eigen_by_component(spark):
         np.testing.assert_allclose(sorted(np.diag(e.T @ m @ e)), sorted(values), rtol=1e-5)
 
 
+def test_products_of_bucketed_edges(spark):
+    """Edges move once, before the rounds; a hub's entries are parted; the tables go when they are forgotten."""
+    from affinigraph.sources.store import forget
+
+    rng = np.random.default_rng(7)
+    m = np.where(rng.random((60, 60)) < 0.1, rng.normal(size=(60, 60)), 0.0)
+    m[:, 9] = rng.normal(size=60)  # a hub
+    m[11] = 0  # a row and a column without entries
+    m[:, 11] = 0
+    edges = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)]
+    kept, salts = eigen.by_column(spark.createDataFrame(edges + edges[:5], "i long, j long, w double"), part=100, hub=20)
+    for i, j, w in edges[:5]:
+        m[i, j] += w  # repeated entries add up
+    assert {r.id for r in salts.where("salts > 1").collect()} == {9} and kept.where("j = 9").select("salt").distinct().count() == 3
+    x = rng.normal(size=(60, 2))
+    vectors = salts.join(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>"), "id").select("id", "salts", "x")
+    got = eigen.products(kept, vectors, "x", 2)
+    y = np.zeros((60, 2))
+    for r in got.collect():
+        y[r.id] = r.y
+    np.testing.assert_allclose(y, m @ x, atol=1e-12)
+    join = got._jdf.queryExecution().executedPlan().toString().split("Join")[1]
+    assert "Bucketed: true" in join[: join.index("Exchange")]  # nothing between the kept edges and the join
+    assert eigen.products(kept, vectors.where("id < 0"), "x", 2).count() == 0
+    tables = len(spark.catalog.listTables())
+    forget(kept)
+    assert len(spark.catalog.listTables()) == tables - 1
+
+
+def test_estimators_read_their_input_once(spark):
+    """What the checks, the graph and the result need comes from the pass that writes the points."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.05, (12, 3)) for c in (0.0, 1.0)])
+    for s in (clustering.KnnGraphClustering(k=2, sparsity=0.2), clustering.LshGraphClustering(k=2, share=0.2), clustering.LandmarkGraphClustering(k=2, share=0.5)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(v, seen=seen):
+            seen.add(1)
+            return v
+
+        p = points.from_rows(spark, x.tolist()).withColumn("v", F.udf(count, "array<double>")("v")).withColumn("extra", F.lit(1))
+        assert s.fit(p).predict_all().count() == 24 and seen.value == 24
+    p = points.from_rows(spark, x.tolist())
+    kept, n = points.checked(p)
+    assert (n, points.width_of(kept), points.checked(p, 30)[1], points.checked(p, -1)[1]) == (24, 3, 30, 24)
+    assert points.checked(p.withColumn("id", F.lit(None).cast("long")), 3)[0].where("id IS NULL").count() == 24
+    with pytest.raises(ValueError, match="id 2[0-3] is not below the given number of points 20"):
+        points.checked(p, 20)
+    with pytest.raises(ValueError, match="between 1 and 2"):
+        points.checked(points.from_rows(spark, [[1.0], [1.0, 2.0]]))
+    with pytest.raises(ValueError, match="no points"):
+        points.checked(p.where("id < 0"))
+    with pytest.raises(ValueError, match="no points"):
+        points.checked(points.from_rows(spark, []))
+    bad = spark.createDataFrame([("1,x",)], "value string").select(F.lit(0).cast("long").alias("id"), fv.parse_line(F.col("value")).alias("v"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):  # another error stays what it is
+        points.checked(bad, 5)
+
+
 def test_eigen_of_close_values(spark):
     """Values so close that a power iteration would not part them in time, found where the matrix is."""
     edges = spark.createDataFrame([(i, i, 1.0 + i / 40_000) for i in range(400)], "i long, j long, w double")
