@@ -99,7 +99,7 @@ def order_supplier_spectrum(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet")
     q = t.groupBy((2 * F.col("l_orderkey")).alias("o"), (2 * F.col("l_suppkey") + 1).alias("s")).agg(F.sum("l_quantity").alias("w"))
     w = settle(q.select(F.col("o").alias("i"), F.col("s").alias("j"), "w").union(q.select("s", "o", "w")))
-    rows, values = eigen.distributed_pairs(w, 2, tolerance=1e-7)
+    rows, values = eigen.distributed_pairs(w, 2)
     sizes = spark.createDataFrame([(n, round(abs(float(v)), 4)) for n, v in enumerate(values)], "nth int, size double")
     return sizes.join(residuals(w, rows).select("nth", "settled"), "nth")
 
