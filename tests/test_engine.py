@@ -559,3 +559,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_edges_become_stars(spark):
+    """Of many edges between the same vertices a row for each vertex is left, and it leads to the least one."""
+    from affinigraph.operators.components import least_of, stars
+
+    edges = spark.range(20_000).select((F.col("id") % 100).alias("i"), (F.col("id") * 7 % 100).alias("j")).repartition(2)
+    rows = stars(edges).collect()
+    assert len(rows) <= 200 and {r.i for r in rows} == set(range(100)) and all(r.j <= r.i for r in rows)
+    ids, least = least_of(np.arange(1, 5000), np.arange(4999))  # a path
+    assert (ids == np.arange(5000)).all() and not least.any()
+
+
+def test_products_stay_in_the_engine(spark):
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(5) for j in range(5)], "i long, j long, w double")
+    kept, salts = eigen.by_column(edges)
+    got = eigen.products(kept, salts.withColumn("x", F.array(F.lit(1.0), F.lit(2.0))), "x", 2)
+    assert {tuple(r.y) for r in got.collect()} == {(5.0, 10.0)} and "InArrow" not in got._jdf.queryExecution().toString()
