@@ -577,3 +577,45 @@ def test_products_stay_in_the_engine(spark):
     kept, salts = eigen.by_column(edges)
     got = eigen.products(kept, salts.withColumn("x", F.array(F.lit(1.0), F.lit(2.0))), "x", 2)
     assert {tuple(r.y) for r in got.collect()} == {(5.0, 10.0)} and "InArrow" not in got._jdf.queryExecution().toString()
+
+
+def test_points_move_in_few_blocks(spark):
+    """Small blocks are dealt together, so that moving all points to every block stays in proportion to the points."""
+    assert [neighbours.dealt(n, 100) for n in (90, 500, 10_000, 100_000, 600_000)] == [1, 5, 24, 24, 24]
+    sizes = spark.createDataFrame([(n,) for n in (90, 500, 10_000, 100_000, 600_000)], "n long")
+    assert [r.parts for r in sizes.select(neighbours.dealt_of(F.col("n"), 100).alias("parts")).collect()] == [1, 5, 24, 24, 24]
+    x = np.random.default_rng(8).normal(size=(700, 3))
+    p = points.from_rows(spark, x.tolist())
+    near = neighbours.neighbours(p, 3, block=5)
+    want = {(r.i, r.j, r.rank) for r in neighbours.neighbours(p, 3).collect()}
+    assert {(r.i, r.j, r.rank) for r in near.collect()} == want
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    for block in (4, 100, 1000):
+        rows = neighbours.pair_summary(p, block).orderBy("i").collect()
+        assert [r.n for r in rows] == [700] * 700
+        np.testing.assert_allclose([(r.total, r.low, r.high) for r in rows], np.stack([d.sum(1), d.min(1), d.max(1)], 1), rtol=1e-9, atol=1e-12)
+
+
+def test_a_bucket_of_most_points_is_not_one_task(spark):
+    """Bucket sizes are looked up where the points are, and a salted join takes over when there are many buckets."""
+    own = spark.range(4000).select("id", F.array((F.col("id") % 97).cast("double")).alias("v"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("bucket"))
+    near = neighbours.bucket_neighbours(own, 2)
+    assert near.count() == 2000 * 2 + 2000
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_graph_steps_read_their_rows_once(spark):
+    from affinigraph.operators import components
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(d):
+        seen.add(1)
+        return d
+
+    near = points.from_rows(spark, [[0.0], [1.0], [3.0], [4.0]]).select(F.col("id").alias("i"), (3 - F.col("id")).alias("j"), F.udf(count, "double")(F.col("v")[0]).alias("d"))
+    for step in (graph.symmetric_edges, graph.mean_distances, graph.self_tuned_affinity, lambda n: graph.graph_matrix(graph.width_affinity(n, 1.0)), components.components):
+        seen.value = 0
+        step(near).collect()
+        assert seen.value <= 4
