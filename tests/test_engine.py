@@ -619,3 +619,15 @@ def test_graph_steps_read_their_rows_once(spark):
         seen.value = 0
         step(near).collect()
         assert seen.value <= 4
+
+
+def test_bounds_give_way_to_blocks(spark, monkeypatch):
+    """Points whose balls rule out nothing are compared in blocks, with the same result."""
+    x = np.random.default_rng(9).normal(size=(400, 24))
+    p = points.from_rows(spark, x.tolist())
+    want = {(r.i, r.j, r.rank) for r in neighbours.neighbours(p, 4).collect()}
+    found, share = bounds.candidates(p, 4, 40)
+    assert share == 1.0 and {(r.i, r.j, r.rank) for r in neighbours.first_per_row(found, 4).collect()} == want
+    monkeypatch.setattr(bounds, "FEW", 1000)
+    found, share = bounds.candidates(p, 4, 40)
+    assert share > 0.5 and {(r.i, r.j, r.rank) for r in neighbours.first_per_row(found, 4).collect()} == want
