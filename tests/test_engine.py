@@ -631,3 +631,25 @@ def test_bounds_give_way_to_blocks(spark, monkeypatch):
     monkeypatch.setattr(bounds, "FEW", 1000)
     found, share = bounds.candidates(p, 4, 40)
     assert share > 0.5 and {(r.i, r.j, r.rank) for r in neighbours.first_per_row(found, 4).collect()} == want
+
+
+def test_neighbours_are_swept(spark):
+    """A block passes all points some at a time and keeps t of each: no candidates move, and single precision decides nothing."""
+    from affinigraph.functions.blocks import Nearest, nearest
+
+    rng = np.random.default_rng(11)
+    few = rng.integers(0, 3, size=(90, 3)).astype(float)  # copies and ties
+    for x in (rng.normal(size=(90, 8)), few, rng.normal(size=(90, 4)) + 1e6, rng.normal(size=(90, 4)) * 1e20, rng.normal(size=(90, 4)) * 1e-25, np.concatenate([few, [[1e9] * 3]])):
+        ids = rng.permutation(len(x))
+        held = Nearest(x, 7)
+        for a in range(0, len(x), 13):
+            held.add(x[a : a + 13], ids[a : a + 13])
+        row, at, d = nearest(x, x, ids, 7)
+        got = [np.concatenate(c) for c in zip(*held.found(), strict=True)]
+        assert (got[0] == row).all() and (got[1] == ids[at]).all() and (got[2] == d).all()
+    p = points.from_rows(spark, rng.normal(size=(300, 3)).tolist())
+    for near in (neighbours.neighbours(p, 3, block=20), neighbours.bucket_neighbours(p.withColumn("bucket", F.col("id") % 2), 3, small=0, block=20)):
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert near.count() == 900 and "Window" not in plan and "FlatMapGroups" not in plan
+    parts = [neighbours.swept_blocks(n, neighbours.BLOCK, 10) for n in (90, 10_256, 102_560, 615_360, 6_153_600)]
+    assert parts == [1, 24, 24, 24, 188] and neighbours.swept_blocks(10_256, neighbours.BLOCK, 1000) == 24
