@@ -653,3 +653,11 @@ def test_neighbours_are_swept(spark):
         assert near.count() == 900 and "Window" not in plan and "FlatMapGroups" not in plan
     parts = [neighbours.swept_blocks(n, neighbours.BLOCK, 10) for n in (90, 10_256, 102_560, 615_360, 6_153_600)]
     assert parts == [1, 24, 24, 24, 188] and neighbours.swept_blocks(10_256, neighbours.BLOCK, 1000) == 24
+
+
+def test_hash_bits_read_written_points(spark, monkeypatch):
+    """The points of the hash queries are evaluated once, not for each bit."""
+    made = []
+    monkeypatch.setattr(catalogue, "settle", lambda df: made.append(store.settle(df)) or made[-1])
+    signed = catalogue.signed(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2 and signed.count() == 500
