@@ -661,3 +661,22 @@ def test_hash_bits_read_written_points(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "settle", lambda df: made.append(store.settle(df)) or made[-1])
     signed = catalogue.signed(spark, "/root/testdata/sf0.001")
     assert len(made) == 2 and signed.count() == 500
+
+
+def test_landmark_products_share_affinities(spark, monkeypatch):
+    """Landmarks that a task can hold are met by each block of points once a round, for both products; the result is that of blocks
+    of landmarks."""
+    x = np.random.default_rng(4).normal(size=(60, 16))
+    p, marks = points.from_rows(spark, x.tolist()).cache(), F.col("id") % 4 == 0
+    made = []
+    once = landmarks.kernel_both_ways
+    monkeypatch.setattr(landmarks, "kernel_both_ways", lambda *a: made.append(a) or once(*a))
+    e = np.array([r.e for r in landmarks.embedding_by_products(p, 3, marks, 2.0).orderBy("id").collect()])
+    assert made
+    dense = np.array([r.e for r in landmarks.landmark_embedding(p, 3, marks, 2.0).orderBy("id").collect()])
+    np.testing.assert_allclose(e @ e.T, dense @ dense.T, atol=1e-4)
+    for sigma, power in ((2.0, 1), (2.0, 2), (0.0, 1), (1e-9, 1)):
+        own = landmarks.Landmarks(np.arange(60), x, sigma, power)
+        np.testing.assert_allclose(np.concatenate([s for _, _, s in own.slices(x)]), own.affinity(x), rtol=1e-9, atol=1e-300)
+    first = eigen._gram(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:, :3])], "id long, s array<double>"))
+    np.testing.assert_allclose(first, x[:, :3].T @ x[:, :3])
