@@ -680,3 +680,27 @@ def test_landmark_products_share_affinities(spark, monkeypatch):
         np.testing.assert_allclose(np.concatenate([s for _, _, s in own.slices(x)]), own.affinity(x), rtol=1e-9, atol=1e-300)
     first = eigen._gram(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:, :3])], "id long, s array<double>"))
     np.testing.assert_allclose(first, x[:, :3].T @ x[:, :3])
+
+
+def test_ties_that_lose_are_not_sorted(monkeypatch):
+    from affinigraph.functions import blocks
+
+    x, ids = np.ones((64, 5)), np.arange(5000)
+    held, sorted_in = blocks.Nearest(x, 7), []
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_in.append(len(keys[0])) or lexsort(keys))
+    held.add(np.ones((4096, 5)), ids[:4096])
+    first = len(sorted_in)
+    held.add(np.ones((904, 5)), ids[4096:])  # as near, of larger ids
+    assert all(n <= 7 * 64 for n in sorted_in[first:])
+    held.add(np.ones((1, 5)), np.array([-1]))
+    assert {(int(i), int(j)) for i, to, _, _ in held.found() for i, j in zip(i, to, strict=True)} == {(i, j) for i in range(64) for j in range(-1, 6)}
+
+
+def test_places():
+    from affinigraph.functions.blocks import places
+
+    for shape in ((3, 16), (5, 7), (1, 8), (0, 4), (4096, 1)):
+        for share in (0, 0.01, 0.5, 1):
+            flags = np.random.default_rng(5).random(shape) < share
+            assert places(flags).tolist() == np.flatnonzero(flags).tolist()
