@@ -704,3 +704,20 @@ def test_places():
         for share in (0, 0.01, 0.5, 1):
             flags = np.random.default_rng(5).random(shape) < share
             assert places(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
+def test_a_block_holds_no_more_when_more_points_pass():
+    import tracemalloc
+
+    from affinigraph.functions.blocks import Nearest
+
+    rng, most = np.random.default_rng(3), []
+    for parts in (6, 30):
+        tracemalloc.start()
+        held = Nearest(rng.normal(size=(1000, 16)), 10)
+        for k in range(parts):
+            held.add(rng.normal(size=(2000, 16)), np.arange(2000) + 2000 * k)
+        assert sum(len(i) for i, *_ in held.found()) == 10_000
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 1.1 * most[0]
