@@ -721,3 +721,64 @@ def test_a_block_holds_no_more_when_more_points_pass():
         most.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert most[1] < 1.1 * most[0]
+
+
+def test_packed_graph(spark):
+    """A graph whose vertices are held: its entries, products and leading pairs are those of the rows, whatever the ids are."""
+    from affinigraph.operators import packed
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    x[100:120] = x[100]  # equal points: means and distances of zero
+    p = points.from_rows(spark, x.tolist()).select((F.col("id") * 1_000_003 - 7).alias("id"), "v")
+    near = store.settle(neighbours.neighbours(p, 8))
+    ids = packed.ids_of(p.select("id"))
+    for sigma, affinity in ((None, graph.self_tuned_affinity(near)), (1.5, graph.width_affinity(near, 1.5)), (0.0, graph.width_affinity(near, 0.0))):
+        for scaling in ("pos_half", "sym"):
+            rows = graph.graph_matrix(affinity, scaling).toPandas()
+            want = np.zeros((300, 300))
+            want[np.searchsorted(ids, rows.i), np.searchsorted(ids, rows.j)] = rows.w
+            m = packed.graph_of_neighbours(near, ids, 2400, scaling, sigma)
+            got, again = np.zeros((300, 300)), m.rows().toPandas()
+            got[np.searchsorted(ids, again.i), np.searchsorted(ids, again.j)] = again.w
+            assert len(again) == len(rows)
+            np.testing.assert_allclose(got, want, rtol=1e-12, atol=1e-300)
+            y = rng.normal(size=(300, 5))
+            np.testing.assert_allclose(m.times(y), want @ y, atol=1e-9)
+    m = packed.graph_of_neighbours(near, ids, 2400, "pos_half")
+    dense = m.rows().toPandas()
+    a = np.zeros((300, 300))
+    a[np.searchsorted(ids, dense.i), np.searchsorted(ids, dense.j)] = dense.w
+    values, want = eigen.leading(a, 4)
+    for e in (packed.pairs_of(m, 4)[0], eigen.packed_rows(m, 4, rounds=1)):  # the second: not settled in time, so by components
+        e = np.array([r.e for r in e.orderBy("id").collect()])
+        np.testing.assert_allclose(np.diag(e.T @ a @ e) if np.ptp(values) else values, values, rtol=1e-5)
+        np.testing.assert_allclose(a @ e, e * values[None], atol=1e-4 * abs(values).max())
+    with pytest.raises(RuntimeError, match="still"):
+        packed.pairs_of(m, 4, rounds=1)
+
+
+def test_held_pairs():
+    """Close and repeated values, of both signs, with a basis that is cut on the way; products that stay in the basis."""
+    from affinigraph.operators import packed
+
+    good = lambda r, _, largest: (r <= 1e-7 * largest).all()
+    d = np.concatenate([1 + np.arange(400) / 400, [-2.5, -2.5]])
+    values, v = packed.held_pairs(lambda x: d[:, None] * x, 402, 3, settled=good)
+    np.testing.assert_allclose(values, [-2.5, -2.5, 1 + 399 / 400], rtol=1e-9)
+    np.testing.assert_allclose(v.T @ v, np.eye(3), atol=1e-9)
+    values, _ = packed.held_pairs(lambda x: np.zeros_like(x), 5, 3, settled=lambda *_: False)
+    assert (values == 0).all()
+
+
+def test_large_graph_strategies_are_packed(spark, monkeypatch):
+    """Strategies over more points than are solved densely keep the graph packed: no row is made for an entry after the neighbours."""
+    x = np.concatenate([np.random.default_rng(c).normal(size=(40, 4)) + 8 * c for c in range(3)])
+    p = points.from_rows(spark, x.tolist())
+    want = [clustering.KnnGraphClustering(k=3, sparsity=0.1), clustering.LshGraphClustering(k=3, sigma=3.0, share=0.1)]
+    want = [np.array([r.e for r in s.embed(p).orderBy("id").collect()]) for s in want]
+    monkeypatch.setattr(eigen, "DENSE", 20)
+    monkeypatch.setattr(graph, "graph_matrix", None)
+    for s, e in zip((clustering.KnnGraphClustering(k=3, sparsity=0.1), clustering.LshGraphClustering(k=3, sigma=3.0, share=0.1)), want, strict=True):
+        got = np.array([r.e for r in s.embed(p).orderBy("id").collect()])
+        np.testing.assert_allclose(got @ got.T, e @ e.T, atol=1e-3)
