@@ -782,3 +782,30 @@ def test_large_graph_strategies_are_packed(spark, monkeypatch):
     for s, e in zip((clustering.KnnGraphClustering(k=3, sparsity=0.1), clustering.LshGraphClustering(k=3, sigma=3.0, share=0.1)), want, strict=True):
         got = np.array([r.e for r in s.embed(p).orderBy("id").collect()])
         np.testing.assert_allclose(got @ got.T, e @ e.T, atol=1e-3)
+
+
+def test_two_sided_graph(spark, monkeypatch):
+    """Entries between few vertices and many: leading pairs of both signs without vectors of the many between rounds."""
+    from affinigraph.operators import packed
+
+    rng = np.random.default_rng(4)
+    m = np.zeros((330, 330))
+    m[:30, 30:] = rng.uniform(1, 2, size=(30, 300)) * (rng.uniform(size=(30, 300)) < 0.3)
+    m[0, 30:] += 3
+    m = m + m.T
+    i, j = np.nonzero(m)
+    ids = rng.permutation(330) * 1_000_001 - 5
+    rows = [(int(ids[a]), int(ids[b]), float(m[a, b])) for a, b in zip(i, j, strict=True)]
+    edges = store.settle(spark.createDataFrame(rows, "i long, j long, w double"))
+    loop = spark.createDataFrame([*rows[1:], (int(ids[0]), int(ids[1]), 1.0)], "i long, j long, w double")
+    assert packed.two_sided(store.settle(loop)) is None and packed.two_sided(edges, most=29) is None
+    assert list(packed.two_sided(edges).ids) == sorted(ids[:30])
+    monkeypatch.setattr(eigen, "by_column", None)  # the entries are not dealt by columns for rounds
+    monkeypatch.setattr(packed, "SLICE", 7)
+    for k in (2, 3):
+        e, values = eigen.distributed_pairs(edges, k)
+        e = {r.id: r.e for r in e.collect()}
+        e = np.array([e[int(x)] for x in ids])
+        np.testing.assert_allclose(np.abs(values), np.sort(np.abs(np.linalg.eigvalsh(m)))[::-1][:k], rtol=1e-9)
+        np.testing.assert_allclose(m @ e, e * values[None], atol=1e-4 * values[0])
+        np.testing.assert_allclose(e.T @ e, np.eye(k), atol=1e-6)
