@@ -809,3 +809,17 @@ def test_two_sided_graph(spark, monkeypatch):
         np.testing.assert_allclose(np.abs(values), np.sort(np.abs(np.linalg.eigvalsh(m)))[::-1][:k], rtol=1e-9)
         np.testing.assert_allclose(m @ e, e * values[None], atol=1e-4 * values[0])
         np.testing.assert_allclose(e.T @ e, np.eye(k), atol=1e-6)
+
+
+def test_sparse_points_are_made_once(spark):
+    """Neighbours of sparse points evaluate their input once: width, number and blocks read what was written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    p = spark.createDataFrame([(i, [float(i % 7), 0.0, float(i)]) for i in range(50)], "id long, v array<double>").mapInArrow(seen, "id long, v array<double>")
+    near = neighbours.neighbours(p.select("id", sparse.sparse(F.col("v")).alias("v")), 3)
+    assert near.count() == 150 and made.value == 50
